@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, positional_index, quality_rules, suffix_dedup
 from .common import table
 
 
@@ -14,14 +14,25 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return positional_index.digest(found)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
