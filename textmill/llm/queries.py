@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, positional_index, quality_fm, quality_rules, suffix_dedup, toxicity
+from . import bpe, licenses, line_dedup, near_dedup, positional_index, quality_fm, quality_rules, revisits, suffix_dedup, toxicity
 from .common import table
 
 
@@ -32,6 +33,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    return found.select("doc_id", "n_units", "n_removed", cut.alias("cut_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are made of the pages, see revisits.captures."""
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    merged = F.array_join(F.array_sort(F.transform(F.map_entries("merged_headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.select("page_id", "record_id", "canonical_url", "response_id", "response_ts", "status", merged.alias("headers"))
+
+
+def file_path() -> Column:
+    """Documents laid out in directories by source and id; every tenth is a licence file, some of them higher up."""
+    doc = F.col("doc_id")
+    digit = lambda n: (F.floor(doc / n) % 10).cast("string")
+    top = F.concat(F.lit("/"), "source")
+    a, b = F.concat(top, F.lit("/a"), digit(100)), F.concat(top, F.lit("/a"), digit(100), F.lit("/b"), digit(10))
+    name = F.concat(F.lit("/LICENSE-"), doc.cast("string"))
+    return (
+        F.when(doc % 1000 == 0, F.concat(top, name)).when(doc % 100 == 50, F.concat(a, name)).when(doc % 10 == 0, F.concat(b, name))
+        .otherwise(F.concat(b, F.lit("/f"), doc.cast("string")))
+    )
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", file_path())
+    return licenses.scan(docs)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,12 +78,19 @@ QUERIES = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_revisits": op7_revisits,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_license_scan": op10_license_scan,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
+_ROWS, _IDF, _RARE = licenses.template_table()
+_TEMPLATES = ", ".join(f"('{name}', '{t}', {x!r})" for name, t, x in _ROWS)
+_WEIGHTS = ", ".join(f"('{t}', {x!r})" for t, x in sorted(_IDF.items()))
+
 ORACLES = {
     "op5_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -72,4 +111,53 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.3 * n_words
        AND n_exclaims <= 0.5 * n_words AND n_dup_lines <= 0.5 * n_lines AND (n_words < 40 OR n_stop >= 0.01 * n_words) AS kept
 FROM b""",
+    "op6_line_dedup": r"""
+WITH l AS (SELECT doc_id, u.i AS i, u.s AS s, list_filter(string_split_regex(lower(u.s), '\s+'), lambda x: x <> '') AS w
+           FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s, i: {'i': i, 's': s})) AS u FROM documents)),
+m AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 5 ORDER BY doc_id, i) > 1 AS cut FROM l)
+SELECT doc_id, count(*) FILTER (len(w) > 0) AS n_units, count(*) FILTER (cut) AS n_removed,
+       coalesce(sum(length(s)) FILTER (cut), 0)::BIGINT AS cut_chars,
+       sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
+    "op7_revisits": r"""
+WITH p AS (SELECT page_id, trim(url) AS url, '"' || left(md5(coalesce(html, '')), 12) || '"' AS tag FROM pages),
+u AS (SELECT page_id, tag, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM p),
+c AS (SELECT page_id, tag, regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^www[.]|:[0-9]*$', '', 'g')
+             || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+             list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+                                   lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS q FROM u),
+k AS (SELECT page_id, tag, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical_url FROM c),
+r AS (SELECT 2 * page_id AS record_id, page_id, canonical_url, page_id * 10 AS ts, true AS full_, tag AS etag FROM k UNION ALL
+      SELECT 2 * page_id + 1, page_id, canonical_url, CASE WHEN page_id % 7 = 0 THEN page_id * 10 - 5 ELSE page_id * 10 + 100003 END, false,
+             CASE WHEN page_id % 5 = 0 THEN '"old"' WHEN page_id % 5 = 1 THEN NULL ELSE tag END FROM k),
+f AS (SELECT *, last_value(CASE WHEN full_ THEN record_id END IGNORE NULLS) OVER
+             (PARTITION BY canonical_url ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS response_id FROM r),
+j AS (SELECT f.*, g.ts AS response_ts, g.etag AS rtag, g.page_id AS rpage, k1.tag AS own, k2.tag AS other FROM f
+      LEFT JOIN r g ON g.full_ AND g.record_id = f.response_id LEFT JOIN k k1 ON k1.page_id = f.page_id LEFT JOIN k k2 ON k2.page_id = g.page_id WHERE NOT f.full_),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'missing'
+      WHEN CASE WHEN etag IS NOT NULL THEN etag = rtag WHEN page_id % 3 <> 0 THEN page_id % 28 = rpage % 28 ELSE own = other END THEN 'resolved' ELSE 'mismatch' END AS status FROM j)
+SELECT page_id, record_id, canonical_url, response_id, response_ts, status,
+       CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=' || ts || ';etag=' || rtag || ';server=a' END AS headers
+FROM s""",
+    "op10_license_scan": rf"""
+WITH tp(license, term, w) AS (VALUES {_TEMPLATES}), wt(term, idf) AS (VALUES {_WEIGHTS}),
+d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 1000 = 0 THEN '/' || source || '/LICENSE-' || doc_id
+        WHEN doc_id % 100 = 50 THEN '/' || source || '/a' || ((doc_id // 100) % 10) || '/LICENSE-' || doc_id
+        WHEN doc_id % 10 = 0 THEN '/' || source || '/a' || ((doc_id // 100) % 10) || '/b' || ((doc_id // 10) % 10) || '/LICENSE-' || doc_id
+        ELSE '/' || source || '/a' || ((doc_id // 100) % 10) || '/b' || ((doc_id // 10) % 10) || '/f' || doc_id END AS path FROM documents),
+l AS (SELECT doc_id, u.i AS line, u.s AS t FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'i': i, 's': s}})) AS u FROM d)
+      WHERE regexp_matches(u.s, '{licenses.KEYWORD}')),
+x AS (SELECT doc_id, line, z.term, count(*) * coalesce(any_value(idf), {_RARE!r}) AS x
+      FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(t), '[a-z0-9.]*[a-z0-9]')) AS term FROM l) z LEFT JOIN wt ON wt.term = z.term GROUP BY ALL),
+n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, tp.license, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tp ON tp.term = x.term JOIN n ON n.doc_id = x.doc_id AND n.line = x.line GROUP BY x.doc_id, x.line, tp.license),
+b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM s WHERE score >= {licenses.THRESHOLD}) WHERE r = 1),
+o AS (SELECT d.doc_id, path, license, score, regexp_replace(path, '/[^/]*$', '') AS dir FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
+g AS (SELECT dir, license, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) AS r FROM o WHERE license IS NOT NULL AND path LIKE '%/LICENSE-%') WHERE r = 1),
+near AS (SELECT dirs.dir, arg_max(g.dir, length(g.dir)) AS above, arg_max(g.license, length(g.dir)) AS license, arg_max(g.score, length(g.dir)) AS score
+         FROM (SELECT DISTINCT dir FROM o) dirs JOIN g ON dirs.dir = g.dir OR starts_with(dirs.dir, g.dir || '/') GROUP BY dirs.dir)
+SELECT o.doc_id, o.path, coalesce(o.license, near.license) AS license, coalesce(o.score, near.score) AS score,
+       CASE WHEN o.license IS NOT NULL THEN 'own' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS how,
+       CASE WHEN o.license IS NULL THEN near.above END AS from_path
+FROM o LEFT JOIN near ON near.dir = o.dir""",
 }
