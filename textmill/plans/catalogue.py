@@ -1,6 +1,521 @@
-"""Every query over the driver's tables, by name, with the SQL that it must agree with."""
+"""Every query over the driver's tables, by name, with the SQL that it must agree with.
+
+Documents stand for fetched Markdown pages (url from the id, title from the
+source); pages for fetched HTML. Queries without SQL are held against other
+versions in the tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textmill.functions import ratelimit, text, urls, vectors
+from textmill.operators import bm25, chunking, dedup, export, extract, frontier, tfidf, vector_search
+from textmill.operators.scope import Scope
+from textmill.sources import robots, sitemap
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("markdown"))
+
+
+def fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", "url", F.col("html").alias("body"))
+
+
+# --- scalars
+
+WORD = r"[^\s\x0B]+"
+
+
+@query(rf"SELECT doc_id, len(w)::INTEGER AS n_words, ((13 * len(w) + 9) // 10)::INTEGER AS n_tokens FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents)")
+def estimate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+    return n.select("doc_id", "n_words", text.tokens_of_words(F.col("n_words")).alias("n_tokens"))
+
+
+@query("SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)")
+def tokenize_ascii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "documents").select("doc_id", text.ascii_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query("SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{Co}]+')) AS term FROM documents) GROUP BY term")
+def tokenize_unicode_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.index_tokens(F.col("text"))).alias("term"))
+    per_doc = t.groupBy("doc_id", "term").count()  # combined in the document's own task, before any exchange
+    return per_doc.groupBy("term").agg(F.sum("count").alias("cf"), F.count("*").alias("df"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
+def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE text END AS snippet FROM documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
+
+
+def sql_url(c: str) -> str:
+    """Normal form of URLs whose paths and queries hold no escapes."""
+    r = r"'^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:[?]([^#]*))?(#.*)?$'"
+    path = f"regexp_replace(regexp_extract({c}, {r}, 3), '/+$', '')"
+    q = f"list_sort(list_filter(string_split(regexp_extract({c}, {r}, 4), '&'), lambda x: x <> ''))"
+    return f"(lower(regexp_extract({c}, {r}, 1)) || '://' || lower(regexp_extract({c}, {r}, 2)) || CASE WHEN {path} = '' THEN '/' ELSE {path} END || CASE WHEN len({q}) > 0 THEN '?' || array_to_string({q}, '&') ELSE '' END)"
+
+
+@query(f"SELECT page_id, {sql_url('url')} AS norm_url FROM pages")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", urls.normalize_url(F.col("url")).alias("norm_url"))
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN p = '' THEN 'index' WHEN ends_with(path, '/') THEN p || '/index' ELSE p END AS filepath
+FROM (SELECT page_id, path, regexp_replace(path, '^/+|/+$', '', 'g') AS p FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages))"""
+)
+def url_to_filepath(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", urls.url_to_filepath("https://example.com", F.col("url")).alias("filepath"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[^A-Za-z0-9-]', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'doc') AS filename FROM pages")
+def url_to_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", urls.url_to_filename(F.col("url")).alias("filename"))
+
+
+# --- scope, robots, sitemap
+
+SCOPE = Scope("", ("/en/*", "/fr/*"), ("/*/1*",), 3)
+
+
+@query(
+    r"""SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+WHERE page_id % 5 <= 3 AND regexp_matches(p, '^/(en|fr)/[^/]*$') AND NOT regexp_matches(p, '^/[^/]*/1[^/]*$')"""
+)
+def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").filter(SCOPE.allows(F.col("url"), F.col("page_id") % 5)).select("page_id")
+
+
+@query("SELECT page_id FROM pages WHERE starts_with(url, 'https://m.') AND lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) LIKE 'm.%'")
+def scope_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages")
+    return p.filter(Scope("https://m.").allows(F.col("url"), F.lit(0)) & urls.authority(F.col("url")).startswith("m.")).select("page_id")
+
+
+ROBOTS = "User-agent: textmill\nDisallow: /en/\nAllow: /en/2\nDisallow: /*9$\n\nUser-agent: *\nDisallow: /\n"
+
+
+@query(
+    r"""SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)
+WHERE CASE WHEN starts_with(p, '/en/2') THEN true WHEN starts_with(p, '/en/') THEN false WHEN ends_with(p, '9') THEN false ELSE true END"""
+)
+def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").filter(robots.parse(ROBOTS, "textmill/1.0").allows(F.col("url"))).select("page_id")
+
+
+@query("SELECT url, 0 AS depth, 'sitemap' AS source, 'sitemap' AS discovered_by FROM pages WHERE regexp_matches(url, '^[^:]+://[^/?#]*/en/[^/?#]*([?#]|$)')")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    body = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), escaped, F.lit("</loc></url></urlset>"))
+    return sitemap.discover(read(spark, sf_dir, "pages").select(F.lit(200).alias("status"), body.alias("body")), Scope("", ("/en/*",)))
+
+
+# --- de-duplication and statistics
+
+@query("SELECT min(doc_id) AS doc_id, 'sha256:' || sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY text")
+def dedup_content_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = read(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    return h.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r = 1")
+def dedup_content_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", text.content_hash(F.col("text")).alias("h"))
+    return dedup.distinct_content(h, "h", ["n_chars", "doc_id"]).select("doc_id", "source", "lang")
+
+
+@query(
+    f"""SELECT norm_url, url, depth, source FROM (SELECT *, row_number() OVER (PARTITION BY norm_url ORDER BY depth, CASE source WHEN 'seed' THEN 0 WHEN 'sitemap' THEN 1 ELSE 2 END, url) AS r
+FROM (SELECT {sql_url("url")} AS norm_url, url, (page_id % 3)::INTEGER AS depth, CASE page_id % 3 WHEN 0 THEN 'seed' WHEN 1 THEN 'link' ELSE 'sitemap' END AS source FROM pages)) WHERE r = 1"""
+)
+def dedup_url_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("page_id") % 3 == 0, "seed").when(F.col("page_id") % 3 == 1, "link").otherwise("sitemap")
+    p = read(spark, sf_dir, "pages").select("url", urls.normalize_url(F.col("url")).alias("norm_url"), (F.col("page_id") % 3).cast("int").alias("depth"), kind.alias("source"))
+    return dedup.distinct_urls(p).select("norm_url", "url", "depth", "source")
+
+
+@query(f"SELECT count(DISTINCT {sql_url('url')}) AS urls_seen, count(*) - count(DISTINCT {sql_url('url')}) AS duplicates, sum((page_id % 10 = 0)::INTEGER)::BIGINT AS errors FROM pages")
+def crawl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select(urls.normalize_url(F.col("url")).alias("norm_url"), (F.col("page_id") % 10 == 0).alias("failed"))
+    return dedup.crawl_stats(p, "norm_url", F.col("failed"))
+
+
+@query(
+    """SELECT 'https://example.com' AS seed_url, strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ') AS started_at, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS completed_at,
+(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_seconds, count(*) FILTER (event_type <> 'error') AS pages_crawled, count(*) FILTER (event_type = 'error') AS errors FROM events"""
+)
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("fetched_at"), "event_type")
+    return export.manifest(e, "https://example.com", F.col("event_type") == "error")
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def grouped_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "conversations")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t")))), lambda x: x["t"])
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(parts, "\n").alias("transcript"))
+
+
+# --- extraction
+
+@query(r"SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&amp;', '&')) AS title FROM pages".replace('""', '"'))
+def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetched(spark, sf_dir)
+    return extract.extract(f.select(F.col("page_id").cast("string").alias("url"), "body")).select(F.col("url").cast("bigint").alias("page_id"), "title")
+
+
+@query(
+    r"""SELECT page_id, len(h)::INTEGER AS n_headings, trim(replace(replace(replace(regexp_replace(h[1], '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS first_heading
+FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages)"""
+)
+def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetched(spark, sf_dir)
+    d = extract.extract(f.select(F.col("page_id").cast("string").alias("url"), "body"))
+    return d.select(F.col("url").cast("bigint").alias("page_id"), F.size("headings").alias("n_headings"), F.get(F.col("headings.text"), 0).alias("first_heading"))
+
+
+@query(
+    r"""SELECT DISTINCT page_id, regexp_extract(url, '^([^:]+://[^/?#]*)', 1) || h AS link
+FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS h FROM pages)"""
+)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = fetched(spark, sf_dir)
+    d = extract.extract(f.select("url", "body")).select("url", F.explode("links").alias("link"))
+    return f.select("page_id", "url").join(d, "url").select("page_id", "link").distinct()
+
+
+@query()
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(fetched(spark, sf_dir).select("url", "body"))
+
+
+# --- chunks
+
+def sql_chunks(size: int, step: int) -> str:
+    return f"""w AS (SELECT doc_id, source AS title, 'https://docs.example.com/' || doc_id AS source_url, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+spots AS (SELECT doc_id, title, source_url, w, unnest(range(0, (len(w) + {step} - 1) // {step})) AS i FROM w),
+c AS (SELECT doc_id, title, source_url, i::INTEGER AS chunk_index, ((len(w) + {step} - 1) // {step})::INTEGER AS total_chunks,
+             array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS content, len(w[i * {step} + 1 : i * {step} + {size}]) AS n FROM spots),
+k AS (SELECT *, left(sha256(source_url || '||' || chunk_index), 16) AS id, ((13 * n + 9) // 10)::INTEGER AS token_count, 'sha256:' || sha256(content) AS content_hash FROM c)"""
+
+
+CHUNK_SQL = "SELECT id, source_url, title, chunk_index, total_chunks, token_count, content_hash FROM k"
+
+
+def _chunk_rows(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "source_url", "title", "chunk_index", "total_chunks", "token_count", "content_hash")
+
+
+@query(f"WITH {sql_chunks(393, 355)} {CHUNK_SQL}")
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(chunking.fixed_chunks(documents(spark, sf_dir)))
+
+
+@query(f"WITH {sql_chunks(76, 61)} {CHUNK_SQL}")
+def fixed_chunks_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(chunking.fixed_chunks(documents(spark, sf_dir), 100, 20))
+
+
+def as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with headings: the language as a second-level one, each line break as a third-level one."""
+    d = read(spark, sf_dir, "documents")
+    md = F.concat(F.lit("## "), "lang", F.lit("\n\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n### part\n")))
+    return d.select(F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), md.alias("markdown"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+SELECT 'https://docs.example.com/' || doc_id AS source_url, i::BIGINT AS section, CASE WHEN i = 1 THEN lang ELSE lang || ' > part' END AS heading_path,
+       regexp_replace(CASE WHEN i = 1 THEN '## ' || lang || chr(10) || chr(10) || line ELSE '### part' || chr(10) || line END, '^\s+|\s+$', '', 'g') AS content FROM l"""
+)
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = chunking.heading_sections(as_markdown(spark, sf_dir))
+    return s.select("source_url", F.col("section").cast("long").alias("section"), text.join_path(F.col("heading_path")).alias("heading_path"), "content")
+
+
+@query()
+def heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.heading_chunks(as_markdown(spark, sf_dir), 100)
+
+
+# --- vectors
+
+TFIDF = """t AS (SELECT doc_id, source_url, id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM k),
+f AS (SELECT source_url, id, term, count(*) AS f FROM t GROUP BY ALL),
+n AS (SELECT source_url, count(*) AS n FROM k GROUP BY ALL),
+v AS (SELECT f.source_url, id, term, f / sum(f) OVER (PARTITION BY id) * (ln(n / count(*) OVER (PARTITION BY f.source_url, term)) + 1) AS v FROM f JOIN n ON n.source_url = f.source_url)"""
+
+
+@query(f"WITH {sql_chunks(76, 61)}, {TFIDF} SELECT source_url, id AS chunk_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS weight FROM v")
+def tfidf_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.fixed_chunks(documents(spark, sf_dir), 100, 20)
+    return tfidf.sparse(c).select("source_url", "chunk_id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query(f"WITH {sql_chunks(393, 355)}, {TFIDF} SELECT id AS chunk_id, count(*) AS n_terms, 1.0::DOUBLE AS norm FROM v GROUP BY id")
+def tfidf_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = tfidf.sparse(chunking.fixed_chunks(documents(spark, sf_dir)))
+    return w.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm"))
+
+
+@query(
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS f FROM t GROUP BY ALL), v AS (SELECT doc_id, term, f / sum(f) OVER (PARTITION BY doc_id)
+  * (ln((SELECT count(*) FROM documents) / count(*) OVER (PARTITION BY term)) + 1) AS v FROM f),
+w AS (SELECT doc_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS weight FROM v)
+SELECT doc_id, term, weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS r FROM w) WHERE r <= 3"""
+)
+def tfidf_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three heaviest terms of each document, fitted on the corpus."""
+    from pyspark.sql import Window
+
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    w = tfidf.sparse(d, None).select(F.col("chunk_id").alias("doc_id"), "term", F.round("weight", 6).alias("weight"))
+    r = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
+    return w.withColumn("_r", r).filter("_r <= 3").drop("_r")
+
+
+PROBE = [((i * 37) % 19 - 9) / 10 for i in range(64)]
+SQL_PROBE = f"[{', '.join(map(str, PROBE))}]::DOUBLE[]"
+SQL_COSINE = "list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q)))"
+
+
+@query(f"SELECT vec_id, round({SQL_COSINE}, 6) AS score, row_number() OVER (ORDER BY {SQL_COSINE} DESC, vec_id)::INTEGER AS rank FROM embeddings, (SELECT {SQL_PROBE} AS q) ORDER BY rank LIMIT 5")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(read(spark, sf_dir, "embeddings"), PROBE, 5, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""SELECT label, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY raw DESC, vec_id) AS r
+FROM (SELECT label, vec_id, {SQL_COSINE} AS raw, round({SQL_COSINE}, 6) AS score FROM embeddings, (SELECT {SQL_PROBE} AS q))) WHERE r <= 2"""
+)
+def cosine_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest of each label."""
+    from pyspark.sql import Window
+
+    e = read(spark, sf_dir, "embeddings")
+    s = e.select("label", "vec_id", vectors.cosine(F.col("embedding").cast("array<double>"), F.array(*(F.lit(x) for x in PROBE))).alias("raw"))
+    r = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("raw"), "vec_id"))
+    return s.withColumn("_r", r).filter("_r <= 2").select("label", "vec_id", F.round("raw", 6).alias("score"))
+
+
+@query(
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT query, vec_id, list_dot_product(e, q) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q, q))) AS score FROM q, e)
+SELECT query, vec_id, round(score, 6) AS score, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS r FROM s) WHERE r <= 3"""
+)
+def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 20 against all rows."""
+    e = read(spark, sf_dir, "embeddings")
+    asked = [(r["vec_id"], r["embedding"]) for r in e.filter("vec_id % 20 = 0").orderBy("vec_id").toLocalIterator()]
+    found = vector_search.search_many(e, asked, 3, "vec_id", "embedding")
+    return found.select("query", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, round({SQL_COSINE}, 6) AS score FROM embeddings, (SELECT {SQL_PROBE} AS q)")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(v), 5).alias("norm"), F.round(vectors.cosine(v, F.array(*(F.lit(x) for x in PROBE))), 6).alias("score"))
+
+
+# --- keyword search
+
+def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_chunks(documents(spark, sf_dir), 512, 50)
+
+
+def sql_bm25(wanted: list[str], scored: list[int], holds: str, k: int = 5, base: str = "") -> str:
+    """wanted: a SQL condition over (col, term) for each single-term phrase; holds: over f0, f1, ..."""
+    f = ", ".join(f"count(*) FILTER ({w}) AS f{i}" for i, w in enumerate(wanted))
+    n = ", ".join(f"sum((f{i} > 0)::INTEGER) AS n{i}" for i in range(len(wanted)))
+    idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
+    score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in scored)
+    return f"""WITH {sql_chunks(393, 355)},
+t AS (SELECT id, 'content' AS col, unnest(regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS term FROM k
+      UNION ALL SELECT id, 'title', unnest(regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) FROM k),
+f AS (SELECT id, count(*) AS dl, {f} FROM t GROUP BY id),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {n} FROM f),
+r AS (SELECT id, {score} AS score FROM f, s WHERE {holds})
+SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM r ORDER BY rank LIMIT {k}"""
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(sql_bm25(["term = 'the'", "term = 'than'"], [0, 1], "f0 > 0 AND f1 > 0"))
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), "the than"))
+
+
+@query(sql_bm25(["term = 'und'", "term = 'les'"], [0, 1], "f0 > 0 OR f1 > 0", 10))
+def bm25_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), "und OR les", 10))
+
+
+@query(sql_bm25(["term = 'der'", "term = 'die'"], [0], "f0 > 0 AND NOT f1 > 0"))
+def bm25_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), "der NOT die"))
+
+
+@query(sql_bm25(["term LIKE 'sch%'"], [0], "f0 > 0"))
+def bm25_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), "sch*"))
+
+
+@query(sql_bm25(["term = 'src1' AND col = 'title'", "term = 'the'"], [0, 1], "f0 > 0 AND f1 > 0"))
+def bm25_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), "title:src1 the"))
+
+
+@query(
+    f"""WITH {sql_chunks(393, 355)},
+t AS (SELECT id, regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS c, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS h FROM k),
+f AS (SELECT id, len(c) + len(h) AS dl, len(list_filter(range(1, len(c)), lambda i: c[i] = 'of' AND c[i + 1] = 'the')) AS f FROM t),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, sum((f > 0)::INTEGER) AS m FROM f),
+r AS (SELECT id, CASE WHEN ln((n - m + 0.5) / (m + 0.5)) > 0 THEN ln((n - m + 0.5) / (m + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM f, s WHERE f > 0)
+SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM r ORDER BY rank LIMIT 5"""
+)
+def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(bm25.search(search_chunks(spark, sf_dir), '"of the"'))
+
+
+@query()
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal rank fusion (an extension): documents by keyword, and by the vector with the same id."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title"))
+    v = vector_search.search(read(spark, sf_dir, "embeddings"), PROBE, 10, "vec_id", "embedding")
+    return vector_search.fuse(bm25.search(d, "the than", 10), v)
+
+
+@query()
+def search_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.result_json(bm25.search(search_chunks(spark, sf_dir), "the than"))
+
+
+# --- store and export
+
+@query(
+    f"""WITH {sql_chunks(393, 355)} SELECT id, title, token_count FROM k WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
+UNION ALL SELECT id, 'new', token_count FROM k WHERE doc_id % 3 = 0"""
+)
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.fixed_chunks(documents(spark, sf_dir))
+    old, new = c.filter("doc_id % 2 = 0"), c.filter("doc_id % 3 = 0").withColumn("title", F.lit("new"))
+    return dedup.upsert(old, new, ["id"]).select("id", "title", "token_count")
+
+
+@query(f"WITH {sql_chunks(393, 355)} SELECT id, source_url FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def delete_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.fixed_chunks(documents(spark, sf_dir))
+    return c.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("id", "source_url")
+
+
+@query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query(f"WITH {sql_chunks(393, 355)} SELECT id, doc_id, len(embedding)::INTEGER AS dimensions FROM k LEFT JOIN embeddings ON vec_id = doc_id WHERE chunk_index = 0")
+def export_left_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chunking.fixed_chunks(documents(spark, sf_dir)).filter("chunk_index = 0").select("id", "doc_id")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return c.join(e, "doc_id", "left").select("id", "doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimensions"))
+
+
+@query(f"WITH {sql_chunks(393, 355)} SELECT id, source_url, title, '' AS heading_path, content, token_count::VARCHAR AS token_count, content_hash FROM k")
+def export_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.csv_rows(chunking.fixed_chunks(documents(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {sql_chunks(393, 355)} SELECT source_url, string_agg('# ' || title || chr(10) || chr(10) || '**Source:** ' || source_url || chr(10) || chr(10) || content || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY chunk_index) AS text,
+regexp_replace(source_url, '^https://', '').replace('.', '_').replace('/', '_') || '.md' AS name FROM k GROUP BY source_url"""
+)
+def export_markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.markdown_files(chunking.fixed_chunks(documents(spark, sf_dir)))
+
+
+@query()
+def export_jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return export.jsonl_rows(chunking.fixed_chunks(documents(spark, sf_dir)))
+
+
+@query("SELECT key, arg_max(value, v) AS value FROM (SELECT event_type AS key, event_id AS v, user_id::VARCHAR AS value FROM events) GROUP BY key")
+def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest value of each key."""
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("v"))
+    return dedup.first_by(e, ["key"], [-F.col("v")]).select("key", "value")
+
+
+# --- frontier, rates
+
+@query(
+    f"""WITH RECURSIVE u AS (SELECT page_id, url, {sql_url("url")} AS norm_url FROM pages),
+e AS (SELECT DISTINCT a.norm_url AS src, b.norm_url AS dst FROM u a JOIN u b ON b.page_id = 2 * a.page_id + 1 OR b.page_id = 2 * a.page_id + 2),
+b AS (SELECT norm_url, 0 AS depth FROM u WHERE page_id = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.norm_url WHERE b.depth < 6)
+SELECT norm_url, min(depth)::INTEGER AS depth FROM b GROUP BY norm_url"""
+)
+def link_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as a tree: page n links to 2n + 1 and 2n + 2."""
+    p = read(spark, sf_dir, "pages").select("page_id", "url")
+    kids = p.select(F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("page_id"), F.col("url").alias("src"))
+    edges = kids.join(p.withColumnRenamed("url", "dst"), "page_id").select("src", "dst")
+    start = p.filter("page_id = 0").select("url", urls.normalize_url(F.col("url")).alias("norm_url"), F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.lit("seed").alias("discovered_by"))
+    return frontier.traverse(start, edges, Scope(max_depth=6)).select("norm_url", "depth")
+
+
+@query(
+    """SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 10.0 WHEN h > 0 THEN h WHEN event_id % 11 = 0 THEN 1 / 2.0 ELSE 5.0 END, 6) AS rate FROM (
+SELECT event_id, CASE WHEN l > 0 THEN greatest(0.1, (CASE WHEN w > 0 THEN r / w ELSE l END) * CASE WHEN r / l < 0.1 THEN 0.5 ELSE 1 END) ELSE 0 END AS h
+FROM (SELECT event_id, (user_id % 50)::DOUBLE AS l, (event_id % 30)::DOUBLE AS r, (event_id % 90)::DOUBLE AS w FROM events))"""
+)
+def ratelimit_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    one = lambda c: F.array(c.cast("string"))
+    headers = F.create_map(F.lit("X-RateLimit-Limit"), one(F.col("user_id") % 50), F.lit("X-RateLimit-Remaining"), one(F.col("event_id") % 30), F.lit("X-RateLimit-Reset"), one(F.col("event_id") % 90))
+    e = e.select("event_id", ratelimit.parse(headers, F.col("ts")).alias("info"), "ts")
+    rate = ratelimit.resolve_rate(
+        F.when(F.col("event_id") % 7 == 0, F.lit(10.0)), ratelimit.header_rate(F.col("info"), F.col("ts")), F.when(F.col("event_id") % 11 == 0, F.lit(2.0)), F.lit(None).cast("double")
+    )
+    return e.select("event_id", F.round(rate, 6).alias("rate"))
+
+
+@query(
+    """SELECT l.label, count(*) AS n, round(avg(len(e.embedding)), 6) AS dims FROM (SELECT DISTINCT label FROM embeddings) l JOIN embeddings e ON e.label = l.label GROUP BY l.label"""
+)
+def cosine_join_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.size("embedding")), 6).alias("dims"))
