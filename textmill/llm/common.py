@@ -5,9 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +53,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_key(text: Column | str = "text") -> Column:
-    """64-bit content key. With doc_id beside it, two rows share a key only if id and text agree."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+#: Rows of a few numbers each that may be broadcast: about 50 MB as a hash table.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of short rows for broadcast if a count proves that it is small; else the join shuffles it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def labelled_fold(doc_id: Column | str = "doc_id") -> Column:
     """True for held-out rows: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
-
-def utf8(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """The bytes of each text; null is empty."""
-    for x in column.cast(pa.large_binary()):
-        yield x.as_py() or b""

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import mix, signatures
-from .common import Scratch
+from .common import Scratch, broadcast_if_small
 from .components import components
 from .suffix_dedup import row_keys
 
@@ -229,7 +229,7 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
 
     met = members.select("node").distinct()
     sketches = scratch.write("sketches", nodes.select("k1", "k2", "node", "sketch").join(met, "node", "left_semi"))
-    texts = keyed.select("k1", "k2", "text").join(sketches.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"])
+    texts = keyed.select("k1", "k2", "text").join(broadcast_if_small(sketches.select("k1", "k2", "node")), ["k1", "k2"]).dropDuplicates(["node"])
     bags = scratch.write("bags", _bags(texts))
 
     pairs = members.filter("node <> rep").select("node", "rep").distinct()
