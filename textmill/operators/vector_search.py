@@ -37,6 +37,7 @@ def search_many(vectors: DataFrame, queries: list[tuple[object, Sequence[float]]
     import pandas as pd
 
     kind = vectors.schema[key].dataType.simpleString()
+    named = "string" if queries and isinstance(queries[0][0], str) else "long"
     out = None
     for at in range(0, len(queries), block):
         names = [q[0] for q in queries[at : at + block]]
@@ -53,9 +54,10 @@ def search_many(vectors: DataFrame, queries: list[tuple[object, Sequence[float]]
                 keys = b[key].to_numpy()
                 for j, name in enumerate(names):
                     top = np.lexsort((keys, -score[:, j]))[:k]
-                    yield pd.DataFrame({"query": [name] * len(top), key: keys[top], "score": score[top, j]})
+                    if len(top):
+                        yield pd.DataFrame({"query": [name] * len(top), key: keys[top], "score": score[top, j]})
 
-        part = vectors.select(key, vector).mapInPandas(run, f"query long, `{key}` {kind}, score double")
+        part = vectors.select(key, vector).mapInPandas(run, f"query {named}, `{key}` {kind}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no query")
