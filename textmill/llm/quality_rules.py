@@ -111,8 +111,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
     stop = F.array(*(F.lit(w) for w in sorted(set(STOP_WORDS))))
-    return df.select(
-        *(F.col(c) for c in df.columns if c not in {"_t", "_words", "_lines", *COUNTS}),
+    counts = F.struct(
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_t", NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
@@ -122,6 +121,9 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.length(F.regexp_replace("_t", "[^!]+", "")).cast("long").alias("n_exclaims"),
         F.size(F.filter("_words", lambda w: F.array_contains(stop, F.lower(w)))).cast("long").alias("n_stop_words"),
     )
+    # Rows of a generator are not looked through: a filter on the counts reads them, where it would else compute each anew
+    # as often as the rules name it.
+    return df.select(*(F.col(c) for c in df.columns if c not in {"_t", "_words", "_lines", *COUNTS}), F.inline(F.array(counts)))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclaims", "n_stop_words")
