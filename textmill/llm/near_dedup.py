@@ -225,7 +225,8 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     nodes = scratch.write("nodes", signed.dropDuplicates(["node"]))
     bands = nodes.select("node", F.explode("bands").alias("band"))
     full = bands.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep <> top").select("band", "rep")
-    members = scratch.write("members", bands.join(full, "band"))
+    # written first, so that both sides of the join have an exchange of their own and a hot bucket can be split
+    members = scratch.write("members", bands.join(scratch.write("full", full), "band"))
 
     met = members.select("node").distinct()
     sketches = scratch.write("sketches", nodes.select("k1", "k2", "node", "sketch").join(met, "node", "left_semi"))
@@ -271,7 +272,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = scratch.write("classes", classes(docs, scratch, doc_id, text, least).distinct())
     rows = scratch.write("rows", row_keys(docs, doc_id, text).select(doc_id, "k1", "k2").join(found, ["k1", "k2"], "left").select(doc_id, "class"))
     named = rows.filter("class is not null").groupBy("class").agg(F.min(doc_id).alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(named, "class", "left").select(
+    return rows.join(scratch.write("named", named), "class", "left").select(
         doc_id, F.when(F.col("class").isNull(), F.col(doc_id)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
     )
 
