@@ -87,7 +87,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: re.Pa
     keyed = row_keys(docs, doc_id, text).withColumn("rank", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
     rows = scratch.write("digests", _digests(keyed, by))
     first = rows.groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").drop("most")
-    late = rows.join(first, ["d1", "d2"]).filter("rank > least")
+    # written first, so that both sides of the join have an exchange of their own and a hot line can be split
+    late = rows.join(scratch.write("first", first), ["d1", "d2"]).filter("rank > least")
     cuts = scratch.write("cuts", late.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("cuts")))
     scratch.drop("digests")
 
