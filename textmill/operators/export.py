@@ -60,7 +60,8 @@ def export(chunks: DataFrame, path: str, form: str = "jsonl", with_vectors: bool
     elif form == "csv":
         csv_rows(ordered).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     elif form == "markdown":
-        ordered.select(_block().alias("value")).write.mode("overwrite").option("lineSep", "").text(path)
+        # the writer ends each row with the last line break of its block
+        ordered.select(F.regexp_replace(_block(), r"\n\z", "").alias("value")).write.mode("overwrite").text(path)
     else:
         (ordered if with_vectors else ordered.drop("vector")).write.mode("overwrite").parquet(path)
 
