@@ -252,11 +252,14 @@ def repeated_ranges(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """k1, k2, start, stop: byte ranges, which may overlap, made of repeated windows."""
     runs = scratch.write("runs", _runs(keyed))
     met = runs.groupBy("fp").agg(F.count("*").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b")).filter("n > 1")
-    kept = scratch.write("kept", runs.join(met.select("fp", (F.col("a") != F.col("b")).alias("differ")), "fp"))
-    scratch.drop("runs")
+    # written first, so that both sides of the join have an exchange of their own and a hot anchor can be split
+    met = scratch.write("met", met.select("fp", (F.col("a") != F.col("b")).alias("differ")))
+    kept = scratch.write("kept", runs.join(met, "fp"))
+    scratch.drop("runs", "met")
     # copies of a whole run; one of them stands for all in the sort
     rid = F.xxhash64("k1", "k2", "start")
     copies = kept.filter("differ").groupBy("fp", "sh").agg(F.count("*").alias("n"), F.min(rid).alias("rid"))
+    copies = scratch.write("copies", copies)
     differing = scratch.write("differing", kept.filter("differ").join(copies, ["fp", "sh"]).withColumn("lead", rid == F.col("rid")).drop("rid"))
     whole = kept.filter("not differ").select("k1", "k2", "start", "m").unionByName(differing.filter("n > 1").select("k1", "k2", "start", "m"))
     whole = whole.select("k1", "k2", "start", (F.col("start") + F.col("m") - 1 + DEPTH).alias("stop"))
