@@ -75,6 +75,14 @@ def test_lines(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    cjk, rights = "一行没有空格的文字" * 9, "All rights reserved."
+    rows = [(1, f"{rights}\n{cjk}\n \nx"), (2, f"new\n{cjk}\nALL  rights reserved."), (3, f"x\n{rights}"), (4, "y\ny\n\ny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for r in line_dedup.dedup(df, min_words=1).collect()}
+    assert got == {1: (3, 0, rows[0][1]), 2: (3, 2, "new"), 3: (2, 2, ""), 4: (3, 2, "y\n")}
+
+
 def test_paragraphs():
     text = "a b c d e\nf\n\n \ng h i j k\n"
     assert [(s, e) for s, e, _ in line_dedup.units(text, line_dedup.PARAGRAPH)][0] == (0, 11)

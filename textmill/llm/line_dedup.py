@@ -7,9 +7,10 @@ each document sends one row for each digest. Digests are grouped over all
 documents with map-side partial counts; a row whose document isn't the least
 ranked is joined back to it, and cut out by its original offset.
 
-Rank is doc_id, nulls last, then place in the document. Units of fewer than
-MIN_WORDS words (headings, one-word lines) are left alone, as they repeat by
-chance in clean text.
+Rank is doc_id, nulls last, then place in the document. With `min_words` at 1
+every unit that has a word takes part. At its default, MIN_WORDS, units of fewer
+words (headings, one-word lines) are left alone, as they repeat by chance in
+clean text; a long line without spaces is one word, and left alone as well.
 
 Defined results: a null text counts as empty; an empty text has no units and
 stays empty; documents with equal ids have equal rank, so none of them gives
@@ -34,19 +35,19 @@ MIN_WORDS = 5
 LINE, PARAGRAPH = re.compile(r"[^\n]+"), re.compile(r"[^\n]+(?:\n(?!\s*\n)[^\n]+)*")
 
 
-def units(text: str, by: re.Pattern[str] = LINE) -> Iterator[tuple[int, int, bytes | None]]:
+def units(text: str, by: re.Pattern[str] = LINE, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes | None]]:
     """(offset, end, digest) of each unit, in characters; the digest is None for units that are left alone."""
     for m in by.finditer(text):
         words = m[0].lower().split()
         if words:
-            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(words) >= MIN_WORDS else None
+            digest = hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(words) >= min_words else None
             yield m.start(), m.end(), digest
 
 
-def first_units(text: str, by: re.Pattern[str] = LINE) -> tuple[int, list[tuple[int, int, bytes]], list[tuple[int, int]]]:
+def first_units(text: str, by: re.Pattern[str] = LINE, min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, bytes]], list[tuple[int, int]]]:
     """Number of units; the first unit of each digest; units that repeat an earlier one of the same text."""
     n, seen, repeats = 0, {}, []
-    for start, end, digest in units(text, by):
+    for start, end, digest in units(text, by, min_words):
         n += 1
         if digest is None:
             continue
@@ -67,11 +68,11 @@ def without(text: str, cut: list[tuple[int, int]]) -> str:
     return kept[:-1] if cut and max(cut)[1] == len(text) and kept.endswith("\n") else kept
 
 
-def _digests(keyed: DataFrame, by: re.Pattern[str]) -> DataFrame:
+def _digests(keyed: DataFrame, by: re.Pattern[str], min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(at, 512) for at in range(0, len(whole), 512)):
-                rows = [(k, k1, k2, start, end, *(int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))) for k, k1, k2, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for start, end, d in first_units(t, by)[1]]
+                rows = [(k, k1, k2, start, end, *(int.from_bytes(d[i : i + 8], "little", signed=True) for i in (0, 8))) for k, k1, k2, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for start, end, d in first_units(t, by, min_words)[1]]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["rank", "k1", "k2", "start", "stop", "d1", "d2"])
 
@@ -81,11 +82,11 @@ def _digests(keyed: DataFrame, by: re.Pattern[str]) -> DataFrame:
 RESULT = "n_units long, n_removed long, spans array<struct<start:int,stop:int>>, kept string"
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: re.Pattern[str] = LINE) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: re.Pattern[str] = LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of docs: id, n_units, n_removed, spans (original offsets of what is cut, in characters) and the kept text."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     keyed = row_keys(docs, doc_id, text).withColumn("rank", F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)))
-    rows = scratch.write("digests", _digests(keyed, by))
+    rows = scratch.write("digests", _digests(keyed, by, min_words))
     first = rows.groupBy("d1", "d2").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").drop("most")
     # written first, so that both sides of the join have an exchange of their own and a hot line can be split
     late = rows.join(scratch.write("first", first), ["d1", "d2"]).filter("rank > least")
@@ -97,7 +98,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: re.Pa
             for b in (whole.slice(at, 256) for at in range(0, len(whole), 256)):
                 out = []
                 for t, cut in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    n, _, repeats = first_units(t, by)
+                    n, _, repeats = first_units(t, by, min_words)
                     # a unit cut here takes its repeats with it: they are later still
                     gone = sorted({(c["start"], c["stop"]) for c in cut or ()} | set(repeats))
                     out.append((n, len(gone), [{"start": x, "stop": y} for x, y in gone], without(t, gone)))

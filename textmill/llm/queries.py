@@ -33,12 +33,21 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+def _lines(found: DataFrame) -> DataFrame:
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
     return found.select("doc_id", "n_units", "n_removed", cut.alias("cut_chars"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of five words or more, as its SQL has it."""
+    return _lines(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that has a word."""
+    return _lines(line_dedup.dedup(table(spark, sf_dir, "documents"), min_words=1))
+
+
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures are made of the pages, see revisits.captures."""
     found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
@@ -79,6 +88,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op6_line_dedup_all": op6_line_dedup_all,
     "op7_revisits": op7_revisits,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
@@ -161,3 +171,5 @@ SELECT o.doc_id, o.path, coalesce(o.license, near.license) AS license, coalesce(
        CASE WHEN o.license IS NULL THEN near.above END AS from_path
 FROM o LEFT JOIN near ON near.dir = o.dir""",
 }
+
+ORACLES["op6_line_dedup_all"] = ORACLES["op6_line_dedup"].replace("len(w) >= 5", "len(w) > 0")
