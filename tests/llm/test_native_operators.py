@@ -65,27 +65,64 @@ def test_rules_are_data(spark):
 def test_lines(spark):
     same = "One line of  more words"
     rows = [(3, f"{same}\nshort\nshort"), (1, f"x\n{same.upper()}\ny\n one LINE of more words"), (2, same), (None, f"tail\n{same}"), (4, None), (5, ""), (6, "\n\n"), (1, f"x\n{same.upper()}\ny\n one LINE of more words")]
-    df = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, text string, kept string")
-    got = sorted((repr(r["doc_id"]), r["n_units"], r["n_removed"], r["kept"], [tuple(s) for s in r["spans"]]) for r in line_dedup.dedup(df).collect())
-    one = ("1", 4, 1, f"x\n{same.upper()}\ny", [(len(same) + 5 - 1, len(same) + 4 + 23)])
-    assert [g[:4] for g in got] == sorted([one[:4], one[:4], ("2", 1, 1, ""), ("3", 3, 1, "short\nshort"), ("4", 0, 0, ""), ("5", 0, 0, ""), ("6", 0, 0, "\n\n"), ("None", 2, 1, "tail")])
-    for i, n, k, kept, spans in got:
-        text = next(t for d, t in rows if repr(d) == i) or ""
-        assert len(spans) == k and line_dedup.without(text, spans) == kept
+    df = spark.createDataFrame([(*r, "e", 1, 2) for r in rows], "doc_id long, text string, kept string, rank long, key long")
+    got = sorted((repr(r["doc_id"]), r["n_units"], r["n_removed"], r["kept"], [tuple(s) for s in r["spans"]]) for r in line_dedup.dedup(df, by=line_dedup.LINE, least=1).collect())
+    one = ("1", 4, 1, f"x\n{same.upper()}\ny\n", [(len(same) + 5 - 1, len(same) + 4 + 23)])
+    assert [g[:4] for g in got] == sorted([one[:4], one[:4], ("2", 1, 1, ""), ("3", 3, 2, "short\n"), ("4", 0, 0, ""), ("5", 0, 0, ""), ("6", 0, 0, "\n\n"), ("None", 2, 1, "tail\n")])
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_short_lines_and_lines_without_spaces(spark):
+def test_lines_without_spaces(spark):
     cjk, rights = "一行没有空格的文字" * 9, "All rights reserved."
-    rows = [(1, f"{rights}\n{cjk}\n \nx"), (2, f"new\n{cjk}\nALL  rights reserved."), (3, f"x\n{rights}"), (4, "y\ny\n\ny")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for r in line_dedup.dedup(df, min_words=1).collect()}
-    assert got == {1: (3, 0, rows[0][1]), 2: (3, 2, "new"), 3: (2, 2, ""), 4: (3, 2, "y\n")}
+    rows = [("b1", f"{rights}\n{cjk}\n \nx"), ("b2", f"new\n{cjk}\nALL  rights reserved."), ("b3", f"x\n{rights}"), ("b4", "y\ny\n\ny")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["kept"]) for r in line_dedup.dedup(df, by=line_dedup.LINE, least=1).collect()}
+    assert got == {"b1": (3, 0, rows[0][1]), "b2": (3, 2, "new\n"), "b3": (2, 2, ""), "b4": (3, 2, "y\n\n")}
 
 
 def test_paragraphs():
-    text = "a b c d e\nf\n\n \ng h i j k\n"
-    assert [(s, e) for s, e, _ in line_dedup.units(text, line_dedup.PARAGRAPH)][0] == (0, 11)
+    text = "a b c d e\nf\n\ng h i j k\n"
+    assert [p[:2] for p in line_dedup.pieces(text, line_dedup.PARAGRAPH)] == [(0, 13), (13, 23)]
+
+
+def plain_cut(rows, by, least):
+    """Every unit against every earlier one, as strings."""
+    units, out = [], {}
+    for doc, text in rows:
+        parts = [(m.start(), m.end(), " ".join(m[0].lower().split())) for m in re.finditer(by, text or "")]
+        parts = [p for p in parts if p[2]]
+        total = sum(len(p[2]) for p in parts)
+        for a in range(len(parts)):
+            b, size = a, len(parts[a][2])
+            while size < least and b + 1 < len(parts):
+                b += 1
+                size += len(parts[b][2])
+            if size >= least or (a == 0 and total < least):
+                units.append((doc, a, parts[a][0], parts[b][1], " ".join(p[2] for p in parts[a : b + 1])))
+        out[doc] = set()
+    for u in units:
+        if any(v[4] == u[4] and v[:2] < u[:2] for v in units):
+            out[u[0]] |= set(range(u[2], u[3]))
+    return {doc: "".join(c for i, c in enumerate(text or "") if i not in out[doc]) for doc, text in rows}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passages_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    shared = [" ".join(rng.choice(["ab, cd.", "e", "fg!", "\n", "hi"]) for _ in range(rng.randint(4, 12))) for _ in range(4)]
+    rows = [(i, "".join(rng.choice([*shared, " own%d. " % rng.randint(0, 50), "x,", "\n", ""]) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(40, None), (41, "ab " * 3000), (42, "ab " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for by, least in ((line_dedup.CLAUSE, 12), (line_dedup.LINE, 1), (line_dedup.CLAUSE, 1)):
+        got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(df, by=by, least=least).collect()}
+        assert got == plain_cut(rows, by, least)
+
+
+def test_a_passage_is_found_in_the_middle_of_a_line(spark):
+    passage = " ".join(f"Here is sentence {i} of a passage, which has clauses." for i in range(8))
+    rows = [(1, f"one beginning {passage} one end"), (2, "another text altogether. The. Of. And."), (3, f"the third goes on and on {passage} until it stops. The. Of."), (4, "The. Of. And. It.")]
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[4] == rows[3][1]
+    assert got[3].startswith("the third goes on and on Here is sentence 0") and got[3].endswith(" until it stops. The. Of.") and len(got[3]) < 120
 
 
 # --- revisits

@@ -39,13 +39,13 @@ def _lines(found: DataFrame) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five words or more, as its SQL has it."""
+    """Passages of adjacent clauses, of line_dedup.LEAST characters or more."""
     return _lines(line_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
 def op6_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that has a word."""
-    return _lines(line_dedup.dedup(table(spark, sf_dir, "documents"), min_words=1))
+    """Every surplus line that holds more than white space."""
+    return _lines(line_dedup.dedup(table(spark, sf_dir, "documents"), by=line_dedup.LINE, least=1))
 
 
 def op7_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,14 +121,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.3 * n_words
        AND n_exclaims <= 0.5 * n_words AND n_dup_lines <= 0.5 * n_lines AND (n_words < 40 OR n_stop >= 0.01 * n_words) AS kept
 FROM b""",
-    "op6_line_dedup": r"""
-WITH l AS (SELECT doc_id, u.i AS i, u.s AS s, list_filter(string_split_regex(lower(u.s), '\s+'), lambda x: x <> '') AS w
-           FROM (SELECT doc_id, unnest(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s, i: {'i': i, 's': s})) AS u FROM documents)),
-m AS (SELECT *, len(w) >= 5 AND row_number() OVER (PARTITION BY array_to_string(w, ' '), len(w) >= 5 ORDER BY doc_id, i) > 1 AS cut FROM l)
-SELECT doc_id, count(*) FILTER (len(w) > 0) AS n_units, count(*) FILTER (cut) AS n_removed,
-       coalesce(sum(length(s)) FILTER (cut), 0)::BIGINT AS cut_chars,
-       sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
-FROM m GROUP BY doc_id""",
     "op7_revisits": r"""
 WITH p AS (SELECT page_id, trim(url) AS url, '"' || left(md5(coalesce(html, '')), 12) || '"' AS tag FROM pages),
 u AS (SELECT page_id, tag, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM p),
@@ -172,4 +164,24 @@ SELECT o.doc_id, o.path, coalesce(o.license, near.license) AS license, coalesce(
 FROM o LEFT JOIN near ON near.dir = o.dir""",
 }
 
-ORACLES["op6_line_dedup_all"] = ORACLES["op6_line_dedup"].replace("len(w) >= 5", "len(w) > 0")
+
+def _sql_lines(by: str, least: int) -> str:
+    return rf"""
+WITH s AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{by}'), lambda s, i: {{'i': i, 's': s}})) AS u FROM documents),
+n AS (SELECT doc_id, u.i AS i, u.s AS s, trim(regexp_replace(lower(u.s), '\s+', ' ', 'g')) AS norm FROM s),
+p AS (SELECT *, row_number() OVER d AS r, sum(length(norm)) OVER d AS stop, sum(length(norm)) OVER d - length(norm) AS start FROM n WHERE norm <> ''
+      WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+l AS (SELECT doc_id, list(norm ORDER BY r) AS norms, max(r) AS top, max(stop) AS size FROM p GROUP BY doc_id),
+u AS (SELECT a.doc_id, a.r AS a, b.r AS b FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.stop >= a.start + {least} AND b.start < a.start + {least}
+      UNION ALL SELECT doc_id, 1, top FROM l WHERE size < {least}),
+k AS (SELECT u.doc_id, a, b, row_number() OVER (PARTITION BY array_to_string(norms[a:b], ' ') ORDER BY u.doc_id, a) > 1 AS cut FROM u JOIN l ON l.doc_id = u.doc_id),
+c AS (SELECT DISTINCT k.doc_id, p.i FROM k JOIN p x ON x.doc_id = k.doc_id AND x.r = k.a JOIN p y ON y.doc_id = k.doc_id AND y.r = k.b
+      JOIN n p ON p.doc_id = k.doc_id AND p.i BETWEEN x.i AND y.i WHERE k.cut),
+o AS (SELECT n.*, c.i IS NOT NULL AS cut FROM n LEFT JOIN c ON c.doc_id = n.doc_id AND c.i = n.i)
+SELECT d.doc_id, count(*) FILTER (norm <> '') AS n_units, count(*) FILTER (norm <> '' AND cut) AS n_removed,
+       coalesce(sum(length(s)) FILTER (cut), 0)::BIGINT AS cut_chars, sha256(coalesce(string_agg(s, '' ORDER BY i) FILTER (NOT cut), '')) AS kept_sha256
+FROM documents d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLES["op6_line_dedup"] = _sql_lines(line_dedup.CLAUSE, line_dedup.LEAST)
+ORACLES["op6_line_dedup_all"] = _sql_lines(line_dedup.LINE, 1)
