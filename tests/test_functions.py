@@ -19,30 +19,30 @@ def many(spark, f, inputs):
 
 def test_normalize_url(spark):
     cases = {
-        "https://DOCS.Example.COM/path": "https://docs.example.com/path",
-        "https://docs.example.com/path#section": "https://docs.example.com/path",
-        "https://docs.example.com/path/": "https://docs.example.com/path",
-        "https://docs.example.com/search?z=1&a=2": "https://docs.example.com/search?a=2&z=1",
-        "https://docs.example.com": "https://docs.example.com/",
-        "https://docs.example.com/": "https://docs.example.com/",
-        "HTTPS://Docs.Example.COM/API/Auth/?z=1&a=2#top": "https://docs.example.com/API/Auth?a=2&z=1",
-        "https://docs.example.com/path?": "https://docs.example.com/path",
-        "https://docs.example.com/path?a=2&a=1": "https://docs.example.com/path?a=1&a=2",
-        "https://user:pw@docs.example.com:8080/a%20b//?q=x+y&r": "https://docs.example.com:8080/a%20b?q=x+y&r=",
-        "https://h/a?a-b=1&a=2": "https://h/a?a=2&a-b=1",
-        "https://h/a+b": "https://h/a+b",
-        "not a url": None,
+        "https://WIKI.Harbour.TEST/Boats": "https://wiki.harbour.test/Boats",
+        "https://wiki.harbour.test/tide#noon": "https://wiki.harbour.test/tide",
+        "https://wiki.harbour.test/tide//": "https://wiki.harbour.test/tide",
+        "http://wiki.harbour.test/find?ship=9&berth=4": "http://wiki.harbour.test/find?berth=4&ship=9",
+        "https://wiki.harbour.test": "https://wiki.harbour.test/",
+        "FTP://wiki.harbour.test/": "ftp://wiki.harbour.test/",
+        "HTTPS://Wiki.HARBOUR.test/Log/Day/?w=3&k=1#end": "https://wiki.harbour.test/Log/Day?k=1&w=3",
+        "https://wiki.harbour.test/log?": "https://wiki.harbour.test/log",
+        "https://wiki.harbour.test/log?k=7&k=5": "https://wiki.harbour.test/log?k=5&k=7",
+        "https://me:secret@wiki.harbour.test:9000/x%20y//?q=m+n&r": "https://wiki.harbour.test:9000/x%20y?q=m+n&r=",
+        "https://h/t?k-z=1&k=2": "https://h/t?k=2&k-z=1",
+        "https://h/t+u": "https://h/t+u",
+        "no link at all": None,
     }
     assert many(spark, urls.normalize_url, cases) == list(cases.values())
 
 
 def test_url_to_filepath(spark):
-    base = "https://docs.example.com"
-    cases = {f"{base}/api/auth": "api/auth", f"{base}/": "index", base: "index", f"{base}/api/": "api/index", f"{base}/a/b/c/d": "a/b/c/d", f"{base}/a/./b/../c?q=1": "a/c"}
+    base = "https://wiki.harbour.test"
+    cases = {f"{base}/boats/rig": "boats/rig", f"{base}/": "index", base: "index", f"{base}/boats/": "boats/index", f"{base}/k/l/m": "k/l/m", f"{base}/k/./l/../m?q=1": "k/m"}
     assert many(spark, lambda c: urls.url_to_filepath(base, c), cases) == list(cases.values())
-    assert many(spark, lambda c: urls.url_to_filepath("https://example.com/docs", c), ["https://example.com/docs/guide/start"]) == ["guide/start"]
+    assert many(spark, lambda c: urls.url_to_filepath("https://harbour.test/log", c), ["https://harbour.test/log/week/one"]) == ["week/one"]
     with pytest.raises(ValueError):
-        urls.url_to_filepath("://bad-url", F.lit("x"))
+        urls.url_to_filepath("://nothing", F.lit("x"))
 
 
 def test_url_to_filename(spark):
@@ -69,7 +69,7 @@ def test_malformed_globs():
 
 
 def test_tokens(spark):
-    cases = {"": 0, "hello": 2, "hello world": 3, "the quick brown fox jumps over the lazy dog": 12, "w " * 100: 130, " \n\t ": 0, "  hello   world  ": 3}
+    cases = {"": 0, "tide": 2, "high tide": 3, "one two three four five six seven eight nine": 12, "w " * 100: 130, " \n\t ": 0, "  high   tide  ": 3}
     assert many(spark, text.estimate_tokens, cases) == list(cases.values())
     assert many(spark, text.estimate_tokens, [None]) == [0]
     assert (text.words_for_tokens(512), text.words_for_tokens(50)) == (393, 38)
@@ -78,7 +78,7 @@ def test_tokens(spark):
 
 
 def test_chunk_id(spark):
-    assert one(spark, text.chunk_id(F.lit("https://docs.example.com/page"), F.array(F.lit("A"), F.lit("B")), F.lit(0))) == "168829841d435a45"
+    assert one(spark, text.chunk_id(F.lit("https://wiki.harbour.test/log"), F.array(F.lit("A"), F.lit("B")), F.lit(0))) == "2d103d721bea66bc"
 
 
 def test_snippet(spark):
@@ -96,20 +96,20 @@ def test_vectors(spark):
     assert vectors.from_bytes(vectors.to_bytes([0.5, -2.0])) == [0.5, -2.0]
 
 
-NOW = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
+NOW = datetime.datetime(2024, 3, 5, tzinfo=datetime.UTC)
 
 
 @pytest.mark.parametrize(
     ("headers", "found", "limit", "remaining", "retry"),
     [
         ({}, False, None, None, 0),
-        ({"X-RateLimit-Limit": ["100"], "X-RateLimit-Remaining": ["50"]}, True, 100, 50, 0),
-        ({"RateLimit-Limit": ["20"]}, True, 20, None, 0),
-        ({"X-RateLimit-Limit": ["100"], "RateLimit-Remaining": ["3"]}, True, 100, None, 0),
-        ({"Retry-After": ["30"]}, True, None, None, 30),
-        ({"Retry-After": ["Mon, 01 Jan 2024 00:01:00 GMT"]}, True, None, None, 60),
-        ({"Retry-After": ["Sun, 31 Dec 2023 00:01:00 GMT"]}, True, None, None, 0),
-        ({"Retry-After": ["soon"]}, True, None, None, 0),
+        ({"X-RateLimit-Limit": ["72"], "X-RateLimit-Remaining": ["31"]}, True, 72, 31, 0),
+        ({"RateLimit-Limit": ["18"]}, True, 18, None, 0),
+        ({"X-RateLimit-Limit": ["72"], "RateLimit-Remaining": ["4"]}, True, 72, None, 0),
+        ({"Retry-After": ["17"]}, True, None, None, 17),
+        ({"Retry-After": ["Tue, 05 Mar 2024 00:01:30 GMT"]}, True, None, None, 90),
+        ({"Retry-After": ["Mon, 04 Mar 2024 00:01:00 GMT"]}, True, None, None, 0),
+        ({"Retry-After": ["later"]}, True, None, None, 0),
     ],
 )
 def test_rate_headers(spark, headers, found, limit, remaining, retry):
@@ -120,7 +120,7 @@ def test_rate_headers(spark, headers, found, limit, remaining, retry):
 
 @pytest.mark.parametrize(
     ("limit", "remaining", "reset", "rate"),
-    [(100, 50, 10, 5.0), (100, 5, 10, 0.25), (10, 10, None, 10.0), (0, 5, 10, 0.0), (10, 0, 1000, 0.1), (10, 5, 1_704_067_300, 0.1)],
+    [(80, 48, 12, 4.0), (80, 6, 12, 0.25), (12, 12, None, 12.0), (0, 6, 12, 0.0), (12, 0, 900, 0.1), (12, 6, 1709596900, 0.1)],
 )
 def test_header_rate(spark, limit, remaining, reset, rate):
     h = {"X-RateLimit-Limit": [str(limit)], "X-RateLimit-Remaining": [str(remaining)]} | ({"X-RateLimit-Reset": [str(reset)]} if reset else {})
@@ -128,7 +128,7 @@ def test_header_rate(spark, limit, remaining, reset, rate):
     assert df.select(ratelimit.header_rate(ratelimit.parse(F.col("h"), F.col("now")), F.col("now"))).first()[0] == pytest.approx(rate)
 
 
-@pytest.mark.parametrize(("explicit", "header", "delay", "default", "rate"), [(10.0, 7.0, 1.0, 2.0, 10.0), (None, 7.0, 1.0, 2.0, 7.0), (None, 0.0, 0.5, 8.0, 2.0), (None, None, None, 8.0, 8.0), (None, None, None, None, 5.0)])
+@pytest.mark.parametrize(("explicit", "header", "delay", "default", "rate"), [(9.0, 6.0, 1.0, 3.0, 9.0), (None, 6.0, 1.0, 3.0, 6.0), (None, 0.0, 0.25, 8.0, 4.0), (None, None, None, 8.0, 8.0), (None, None, None, None, 5.0)])
 def test_resolve_rate(spark, explicit, header, delay, default, rate):
     c = [F.lit(x).cast("double") for x in (explicit, header, delay, default)]
     assert one(spark, ratelimit.resolve_rate(*c)) == rate

@@ -18,15 +18,15 @@ def sections(spark, md, n=500):
 
 
 def test_heading_chunks(spark):
-    rows = sections(spark, "One paragraph.\n\nTwo.")
+    rows = sections(spark, "Only this.\n\nAnd that.")
     assert [(r["heading_path"], r["chunk_index"], r["total_chunks"]) for r in rows] == [([], 0, 1)]
-    rows = sections(spark, "## Introduction\n\na\n\n## Getting Started\n\nb")
-    assert [r["heading_path"] for r in rows] == [["Introduction"], ["Getting Started"]]
+    rows = sections(spark, "## Tides\n\na\n\n## Winds\n\nb")
+    assert [r["heading_path"] for r in rows] == [["Tides"], ["Winds"]]
     rows = sections(spark, "## P\n\nx\n\n### A\n\ny\n\n### B\n\nz\n\n## Q\n\nw\n\n### C\nv")
     assert [r["heading_path"] for r in rows] == [["P"], ["P", "A"], ["P", "B"], ["Q"], ["Q", "C"]]
     assert {r["total_chunks"] for r in rows} == {5}
-    rows = sections(spark, "## Examples\n\n```\n## no\n### no\n```\n\nend")
-    assert [r["heading_path"] for r in rows] == [["Examples"]]
+    rows = sections(spark, "## Listing\n\n```\n## no\n### no\n```\n\nend")
+    assert [r["heading_path"] for r in rows] == [["Listing"]]
     assert sections(spark, "### Lone\nx")[0]["heading_path"] == ["Lone"]
     assert sections(spark, " \n ") == []
 
@@ -167,13 +167,13 @@ def chunk_table(spark, rows):
 
 
 def test_search_grammar(spark):
-    c = chunk_table(spark, [("1", "The quick brown fox jumps", "A", "u", None), ("2", "Lazy dog sleeps soundly", "fox", "u", ["Fox"]), ("3", "quick dog café", "B", "u", [])])
+    c = chunk_table(spark, [("1", "A warm red kettle whistles", "A", "u", None), ("2", "Cold lamp hums quietly", "kettle", "u", ["Kettle"]), ("3", "warm lamp café", "B", "u", [])])
     hits = lambda q: {r["id"] for r in bm25.search(c, q).collect()}
-    assert hits("quick") == {"1", "3"} and hits("quick fox") == {"1"} and hits("fox OR dog") == {"1", "2", "3"} and hits("quick NOT fox") == {"3"}
-    assert hits('"quick brown"') == {"1"} and hits('"brown quick"') == set() and hits("sound*") == {"2"} and hits("title:fox") == {"2"}
-    assert hits("heading_path:fox") == {"2"} and hits("cafe") == {"3"} and hits("(quick OR lazy) dog") == {"2", "3"}
-    assert [r["rank"] for r in bm25.search(c, "fox OR dog", 2).orderBy("rank").collect()] == [1, 2]
-    for bad in ("", "how to auth?", "can't", "url:x", "(a", "a OR"):
+    assert hits("warm") == {"1", "3"} and hits("warm kettle") == {"1"} and hits("kettle OR lamp") == {"1", "2", "3"} and hits("warm NOT kettle") == {"3"}
+    assert hits('"warm red"') == {"1"} and hits('"red warm"') == set() and hits("quiet*") == {"2"} and hits("title:kettle") == {"2"}
+    assert hits("heading_path:kettle") == {"2"} and hits("cafe") == {"3"} and hits("(warm OR cold) lamp") == {"2", "3"}
+    assert [r["rank"] for r in bm25.search(c, "kettle OR lamp", 2).orderBy("rank").collect()] == [1, 2]
+    for bad in ("", "what is it?", "won't", "url:x", "(a", "a OR"):
         with pytest.raises(ValueError):
             bm25.search(c, bad)
 
@@ -212,6 +212,54 @@ def test_store(spark, tmp_path):
     assert s.with_vectors().filter("vector is null").count() == 1
 
 
+def same_search(store, query):
+    """A search of the store, and one of its chunks without stored postings."""
+    rows = lambda d: [(r["rank"], r["id"], round(r["score"], 9)) for r in d.orderBy("rank").collect()]
+    return rows(store.search(query)) == rows(bm25.search(store.table("chunks"), query))
+
+
+def test_store_after_many_writes(spark, tmp_path):
+    """Random upserts, prunes and deletes against a dictionary; one compaction falls among them."""
+    rng = random.Random(7)
+    store, model = Store(spark, str(tmp_path / "s"), compact_at=3), {}
+    names = ["id", "content", "source_url", "title", "heading_path", "chunk_index", "total_chunks", "token_count", "content_hash"]
+    for step in range(7):
+        if step in (3, 6):
+            gone = rng.sample(["u0", "u1", None], 2)
+            store.delete_sources(spark.createDataFrame([(g,) for g in gone], "source_url string"))
+            model = {k: v for k, v in model.items() if v[0] not in gone}
+        else:
+            prune, urls = rng.random() < 0.5, rng.sample(["u0", "u1", "u2", None], 2)
+            rows = {f"{u}-{k}": (u, " ".join(rng.choice(["ant", "bee", "cow"]) for _ in range(4))) for u in urls for k in rng.sample(range(4), 2)}
+            df = spark.createDataFrame([(k, text, u, f"t{step}", None, 0, 1, 4, "h") for k, (u, text) in rows.items()], "id string, content string, source_url string, title string, heading_path array<string>, chunk_index int, total_chunks int, token_count int, content_hash string")
+            store.index(df.select(*names), prune=prune)
+            model = {k: v for k, v in model.items() if not (prune and v[0] is not None and v[0] in urls)} | rows
+        assert {r["id"]: (r["source_url"], r["content"]) for r in store.table("chunks").collect()} == model
+        m = store.manifest()
+        assert m["chunks"] == len(model) and len(m["segments"]) < 3
+        assert same_search(store, "ant bee") and same_search(store, '"bee cow" OR ant')
+
+
+def test_store_survives_a_torn_manifest(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.index(chunking.fixed_chunks(docs(spark, "one")))
+    old = s.manifest()
+    (tmp_path / "s" / "manifests" / f"{old['next']:020d}.json").write_text('{"segments": [')  # a crash in the middle of the write
+    assert s.table("chunks").count() == 1
+    with pytest.raises(Exception, match="already exists|exist"):  # who began before it can't take its number
+        s._commit(old)
+    s.index(chunking.fixed_chunks(docs(spark, "one", "two")))
+    assert s.table("chunks").count() == 2
+    s.compact()
+    assert s.vacuum(1) > 0 and s.table("chunks").count() == 2 and same_search(s, "two")
+
+
+def test_documents_of_one_url_are_kept_apart(spark):
+    d = docs(spark, "## A\none", "## B\ntwo", "## A\none").withColumn("url", F.lit("https://h/")).withColumn("title", F.lit("t"))
+    rows = chunking.heading_chunks(d).orderBy("chunk_index").collect()
+    assert sorted(r["content"] for r in rows) == ["## A\none", "## B\ntwo"] and [r["chunk_index"] for r in rows] == [0, 1]
+
+
 def test_export(spark, tmp_path):
     c = chunking.heading_chunks(docs(spark, '## Intro\n\nsaid "hi", ok')).withColumn("vector", F.array(F.lit(0.5).cast("float")))
     import json

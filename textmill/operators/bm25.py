@@ -1,8 +1,9 @@
 """Keyword search: a positional postings table, a query grammar, BM25 and top-k.
 
-Postings are written sorted by term, so that a query's terms prune row groups.
-A query reads the postings of its own terms, sums by chunk with partial
-aggregates, and joins the content of the k winners only.
+Postings are written sorted by term, so that a query's terms prune row groups,
+and carry the length of their chunk. A query reads the postings of its own
+terms, sums by chunk with partial aggregates, and joins the content of the k
+winners only.
 """
 
 from __future__ import annotations
@@ -19,25 +20,37 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("content", "title", "heading_path")
 
 
-def postings(chunks: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """key, col, term, pos: tokens of each column that the chunks have. heading_path is indexed by its words."""
+def _tokens(chunks: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """key, x: name and tokens of each column that the chunks have. heading_path is indexed by its words."""
     have = [c for c in columns if c in chunks.columns]
     types = dict(chunks.dtypes)
     text = {c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ") if types[c].startswith("array") else F.coalesce(F.col(c), F.lit("")) for c in have}
-    cols = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), index_tokens(text[c]).alias("tokens")) for c in have))).alias("x")
-    return chunks.select(F.col(key).alias("key"), cols).select("key", F.col("x.col").alias("col"), F.posexplode("x.tokens").alias("pos", "term"))
+    return chunks.select(F.col(key).alias("key"), F.array(*(F.struct(F.lit(c).alias("col"), index_tokens(text[c]).alias("tokens")) for c in have)).alias("x"))
 
 
-def corpus_stats(chunks: DataFrame, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    """One row: n (chunks) and avgdl (tokens of a chunk over all columns)."""
-    return lengths(chunks, columns=columns).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+def postings(chunks: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """key, dl, col, pos, term: every token, with the number of tokens of its chunk, so that a search needs no other table."""
+    dl = F.aggregate("x", F.lit(0), lambda n, c: n + F.size(c["tokens"]))
+    each = _tokens(chunks, key, columns).select("key", dl.alias("dl"), F.explode("x").alias("x"))
+    return each.select("key", "dl", F.col("x.col").alias("col"), F.posexplode("x.tokens").alias("pos", "term"))
 
 
 def lengths(chunks: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> DataFrame:
-    have = [c for c in columns if c in chunks.columns]
-    types = dict(chunks.dtypes)
-    size = lambda c: F.size(index_tokens(F.array_join(F.coalesce(c, F.array().cast("array<string>")), " ") if types[c].startswith("array") else F.coalesce(F.col(c), F.lit(""))))
-    return chunks.select(F.col(key).alias("key"), sum((size(c) for c in have), F.lit(0)).alias("dl"))
+    """key, dl: also of chunks without tokens."""
+    return _tokens(chunks, key, columns).select("key", F.aggregate("x", F.lit(0), lambda n, c: n + F.size(c["tokens"])).alias("dl"))
+
+
+@dataclass(frozen=True)
+class Stats:
+    """What a score needs of the whole corpus: chunks, and tokens of all of them."""
+
+    n: int
+    tokens: int
+
+
+def corpus_stats(chunks: DataFrame, key: str = "id", columns: tuple[str, ...] = COLUMNS) -> Stats:
+    row = lengths(chunks, key, columns).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+    return Stats(row["n"], row["t"])
 
 
 # --- the query grammar: words (all must match), AND, OR, NOT, "phrase", prefix*, column:term, parentheses
@@ -160,31 +173,46 @@ def _term_test(p: Phrase, k: int) -> Column:
     return own & (F.col("col") == p.column) if p.column else own
 
 
+def wanted(query: str, columns: tuple[str, ...] = COLUMNS) -> Column:
+    """A test of postings: those of the query's terms. Equality and prefix tests go down to the scan."""
+    tests = [_term_test(p, k) for p in phrases(parse(query, columns)) for k in range(len(p.terms))]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def occurrences(post: DataFrame, found: list[Phrase]) -> DataFrame:
-    """key, f0, f1, ...: how often each phrase occurs.
+    """key, dl, f0, f1, ...: how often each phrase occurs.
 
     One read of the postings: each is tagged with the phrases and offsets that it fits; starts with all offsets count.
+    A place holds one token, so no start has an offset twice.
     """
     tags = [F.when(_term_test(p, k), F.struct(F.lit(i).alias("p"), F.lit(k).alias("k"))) for i, p in enumerate(found) for k in range(len(p.terms))]
     wanted = [_term_test(p, k) for p in found for k in range(len(p.terms))]
     test = wanted[0]
     for w in wanted[1:]:
         test = test | w
-    hits = post.filter(test).select("key", "col", "pos", F.explode(F.array_compact(F.array(*tags))).alias("t"))
-    sizes = F.array(*(F.lit(len(p.terms)) for p in found))
-    starts = hits.groupBy("key", "col", F.col("t.p").alias("p"), (F.col("pos") - F.col("t.k")).alias("s")).agg(F.count_distinct("t.k").alias("n"))
+    hits = post.filter(test).select("key", "dl", "col", "pos", F.explode(F.array_compact(F.array(*tags))).alias("t"))
+    sizes = F.array(*(F.lit(len(p.terms)).cast("long") for p in found))
+    starts = hits.groupBy("key", "col", F.col("t.p").alias("p"), (F.col("pos") - F.col("t.k")).alias("s")).agg(F.count("*").alias("n"), F.max("dl").alias("dl"))
     full = starts.filter(F.col("n") == F.get(sizes, F.col("p")))
-    return full.groupBy("key").agg(*(F.sum((F.col("p") == i).cast("int")).alias(f"f{i}") for i in range(len(found))))
+    return full.groupBy("key").agg(F.max("dl").alias("dl"), *(F.sum((F.col("p") == i).cast("int")).alias(f"f{i}") for i in range(len(found))))
+
 
+def search(chunks: DataFrame, query: str, k: int = 5, key: str = "id", columns: tuple[str, ...] = COLUMNS, post: DataFrame | None = None, stats: Stats | None = None) -> DataFrame:
+    """rank, score and the columns of the k best chunks; ties go to the lesser key.
 
-def search(chunks: DataFrame, query: str, k: int = 5, key: str = "id", columns: tuple[str, ...] = COLUMNS, post: DataFrame | None = None) -> DataFrame:
-    """rank, score and the columns of the k best chunks; ties go to the lesser key. `post`: a stored postings table."""
+    With a stored postings table (`post`) and its `stats`, only the query's own postings are read, and the content of the
+    k winners. Without them the chunks are tokenised for this query.
+    """
     node = parse(query, columns)
     every, scored = phrases(node), set(_scored(node))
+    stats = stats or corpus_stats(chunks, key, columns)
     found = occurrences(post if post is not None else postings(chunks, key, columns), every)
-    dl = lengths(chunks, key, columns)
-    stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(found.agg(*(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(every)))))
-    rows = found.filter(_holds(node, {p: F.col(f"f{i}") > 0 for i, p in enumerate(every)})).join(dl, "key").crossJoin(F.broadcast(stats))  # one row of sums
+    counted = found.agg(*(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(every))))
+    rows = found.filter(_holds(node, {p: F.col(f"f{i}") > 0 for i, p in enumerate(every)})).crossJoin(F.broadcast(counted))  # one row of sums
+    rows = rows.withColumn("n", F.lit(stats.n)).withColumn("avgdl", F.lit(stats.tokens / max(1, stats.n)))
     score = F.lit(0.0)
     for i, p in enumerate(every):
         if p in scored:
@@ -194,7 +222,7 @@ def search(chunks: DataFrame, query: str, k: int = 5, key: str = "id", columns:
             f = F.col(f"f{i}")
             score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     best = rows.select("key", score.alias("score")).orderBy(F.desc("score"), "key").limit(k)
-    return ranked(best.join(chunks.withColumn("key", F.col(key)), "key").drop("key"), key)
+    return ranked(F.broadcast(best).join(chunks.withColumn("key", F.col(key)), "key").drop("key"), key)  # k rows
 
 
 def ranked(best: DataFrame, key: str) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.functions.text import chunk_id, content_hash, estimate_tokens, strip, words, words_for_tokens
+from textmill.functions.text import chunk_id, content_hash, estimate_tokens, strip, tokens_of_words, words, words_for_tokens
 
 FENCE = "```"
 CHUNK_COLUMNS = ["id", "content", "source_url", "title", "heading_path", "chunk_index", "total_chunks", "token_count", "content_hash"]
 
 
-def with_identity(chunks: DataFrame) -> DataFrame:
+def with_identity(chunks: DataFrame, token_count: Column | None = None) -> DataFrame:
     """source_url, title, heading_path, content, chunk_index, total_chunks -> all chunk columns."""
     return chunks.withColumns({
         "id": chunk_id(F.col("source_url"), F.col("heading_path"), F.col("chunk_index")),
-        "token_count": estimate_tokens(F.col("content")),
+        "token_count": estimate_tokens(F.col("content")) if token_count is None else token_count,
         "content_hash": content_hash(F.col("content")),
     })
 
@@ -23,29 +23,38 @@ def with_identity(chunks: DataFrame) -> DataFrame:
 def fixed_chunks(docs: DataFrame, max_tokens: int = 512, overlap_tokens: int = 50) -> DataFrame:
     """Windows of words from every step-th word on, as long as one begins inside the text. docs: url, title, markdown.
 
-    All in the row of the document: no exchange. heading_path is null.
+    All in the row of the document: no exchange. heading_path is null. The windows are made inside the row, so that a
+    chunk's row carries its own words only, and no filter makes the split run twice.
     """
     size = max(1, words_for_tokens(max_tokens))
     step = max(1, size - words_for_tokens(overlap_tokens))
     split = docs.select("*", words(F.coalesce("markdown", F.lit(""))).alias("_w"))
-    total = F.ceil(F.size("_w") / step).cast("int")
-    at = split.filter(F.size("_w") > 0).withColumn("total_chunks", total).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), total - 1)))
+    n = F.size("_w")
+    spots = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    one = lambda at, i: F.struct(
+        i.cast("int").alias("index"), F.ceil(n / step).cast("int").alias("total"), F.least(F.lit(size), n - at).cast("int").alias("n"),
+        F.array_join(F.slice("_w", at + 1, size), " ").alias("content"),
+    )
+    rest = [c for c in docs.columns if c not in ("url", "title", "markdown")]
+    at = split.select(*rest, F.col("url").alias("source_url"), "title", F.explode(F.transform(spots, one)).alias("_x"))
     chunks = at.select(
-        *(c for c in docs.columns if c not in ("url", "title", "markdown")), F.col("url").alias("source_url"), "title",
-        F.lit(None).cast("array<string>").alias("heading_path"), "chunk_index", "total_chunks",
-        F.array_join(F.slice("_w", F.col("chunk_index") * step + 1, size), " ").alias("content"),
+        *rest, "source_url", "title", F.lit(None).cast("array<string>").alias("heading_path"),
+        F.col("_x.index").alias("chunk_index"), F.col("_x.total").alias("total_chunks"), F.col("_x.content").alias("content"), F.col("_x.n").alias("_n"),
     )
-    return with_identity(chunks)
+    return with_identity(chunks, tokens_of_words(F.col("_n"))).drop("_n")
 
 
 def heading_sections(docs: DataFrame) -> DataFrame:
-    """source_url, title, section, heading_path, content of each section that isn't blank.
+    """source_url, title, document, section, heading_path, content of each section that isn't blank.
 
     A section begins at a line "## " or "### " outside a code fence; its path is [h2] or [h2, h3], [h3] before any h2,
-    [] before any heading. A fence that opens before any other line is dropped.
+    [] before any heading. A fence that opens before any other line is dropped. Documents of one URL are kept apart by
+    their texts; equal documents give their sections once.
     """
-    lines = docs.select("url", "title", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n")).alias("pos", "line"))
-    run = Window.partitionBy("url").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text = F.coalesce("markdown", F.lit(""))
+    keyed = docs.select("url", "title", F.xxhash64(text, "title").alias("_d"), F.xxhash64(F.lit(1), text, "title").alias("_e"), text.alias("markdown"))
+    lines = keyed.select("url", "title", "_d", "_e", F.posexplode(F.split("markdown", "\n")).alias("pos", "line")).dropDuplicates(["url", "_d", "_e", "pos"])
+    run = Window.partitionBy("url", "_d", "_e").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fence = strip(F.col("line")).startswith(FENCE)
     lines = lines.withColumn("fence", fence).withColumn("inside", F.sum(F.col("fence").cast("int")).over(run) % 2 == 1)
     plain = ~F.col("fence") & ~F.col("inside")
@@ -55,7 +64,7 @@ def heading_sections(docs: DataFrame) -> DataFrame:
         "last_h2": F.last(F.when(F.col("h2"), F.substring("line", 4, 1 << 30)), ignorenulls=True).over(run),
         "begun": F.max((~F.col("fence") & ~F.col("inside")).cast("int")).over(run) == 1,
     })
-    parts = lines.filter("begun").groupBy("url", "section").agg(
+    parts = lines.filter("begun").groupBy("url", "_d", "_e", "section").agg(
         F.first("title").alias("title"), F.min(F.struct("pos", "line", "h2", "h3", "last_h2")).alias("top"),
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"),
     )
@@ -66,7 +75,7 @@ def heading_sections(docs: DataFrame) -> DataFrame:
         .otherwise(F.array().cast("array<string>"))
     )
     content = strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    return parts.select(F.col("url").alias("source_url"), "title", "section", path.alias("heading_path"), content.alias("content")).filter("content <> ''")
+    return parts.select(F.col("url").alias("source_url"), "title", F.col("_d").alias("document"), "section", path.alias("heading_path"), content.alias("content")).filter("content <> ''")
 
 
 def paragraphs(content: Column) -> Column:
@@ -108,10 +117,10 @@ def heading_chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
     """Sections, those over max_tokens cut between paragraphs; index and total run over the document."""
     s = heading_sections(docs)
     pieces = F.when(estimate_tokens(F.col("content")) <= max_tokens, F.array("content")).otherwise(pack(paragraphs(F.col("content")), max_tokens))
-    cut = s.select("source_url", "title", "section", "heading_path", F.posexplode(pieces).alias("piece", "content"))
+    cut = s.select("source_url", "title", "document", "section", "heading_path", F.posexplode(pieces).alias("piece", "content"))
     doc = Window.partitionBy("source_url")
-    cut = cut.withColumn("chunk_index", (F.row_number().over(doc.orderBy("section", "piece")) - 1).cast("int")).withColumn("total_chunks", F.count("*").over(doc).cast("int"))
-    return with_identity(cut.drop("section", "piece"))
+    cut = cut.withColumn("chunk_index", (F.row_number().over(doc.orderBy("document", "section", "piece")) - 1).cast("int")).withColumn("total_chunks", F.count("*").over(doc).cast("int"))
+    return with_identity(cut.drop("document", "section", "piece"))
 
 
 STRATEGIES = {"heading": lambda d, n, o: heading_chunks(d, n), "": lambda d, n, o: heading_chunks(d, n), "fixed": fixed_chunks}

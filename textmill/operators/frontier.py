@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.functions.urls import normalize_url
@@ -22,15 +22,25 @@ def seeds(spark: object, url: str) -> DataFrame:
     return row.withColumn("norm_url", normalize_url(F.col("url"))).select("url", "norm_url", "depth", "source", "discovered_by")
 
 
-def traverse(start: DataFrame, edges: DataFrame, scope: Scope, work_dir: str | None = None) -> DataFrame:
+def work_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. On one machine it may be unset, and is set here."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="textmill-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def traverse(start: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
     """start: frontier rows; edges: src, dst (URLs). All that is reached in scope, with its depth.
 
     A level is an equi-join of the newest URLs with the edges and an anti-join with all seen. Levels are written to the
     shared folder, so that plans don't grow with depth; the loop ends with a level that adds nothing.
     """
     spark = start.sparkSession
-    base = work_dir or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textmill-")
-    at = f"{base.rstrip('/')}/frontier-{uuid.uuid4().hex}"
+    at = f"{work_dir(spark)}/frontier-{uuid.uuid4().hex}"
     pairs = edges.select(normalize_url(F.col("src")).alias("norm_url"), F.col("dst").alias("url")).filter("norm_url is not null").distinct()
     pairs = pairs.withColumn("dst_norm", normalize_url(F.col("url")))
 

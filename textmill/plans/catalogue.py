@@ -7,6 +7,7 @@ versions in the tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from textmill.functions import ratelimit, text, urls, vectors
 from textmill.operators import bm25, chunking, dedup, export, extract, frontier, tfidf, vector_search
 from textmill.operators.scope import Scope
+from textmill.operators.store import Store
 from textmill.sources import robots, sitemap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -356,13 +358,24 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed_chunks(documents(spark, sf_dir), 512, 50)
 
 
+def new_store(spark: SparkSession) -> Store:
+    return Store(spark, f"{frontier.work_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> Store:
+    """A store of the chunks of all documents."""
+    store = new_store(spark)
+    store.index(search_chunks(spark, sf_dir))
+    return store
+
+
 def sql_bm25(wanted: list[str], scored: list[int], holds: str, k: int = 5, base: str = "") -> str:
     """wanted: a SQL condition over (col, term) for each single-term phrase; holds: over f0, f1, ..."""
     f = ", ".join(f"count(*) FILTER ({w}) AS f{i}" for i, w in enumerate(wanted))
     n = ", ".join(f"sum((f{i} > 0)::INTEGER) AS n{i}" for i in range(len(wanted)))
     idf = lambda i: f"CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
     score = " + ".join(f"({idf(i)}) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in scored)
-    return f"""WITH {sql_chunks(393, 355)},
+    return f"""WITH {base or sql_chunks(393, 355)},
 t AS (SELECT id, 'content' AS col, unnest(regexp_extract_all(strip_accents(lower(content)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS term FROM k
       UNION ALL SELECT id, 'title', unnest(regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) FROM k),
 f AS (SELECT id, count(*) AS dl, {f} FROM t GROUP BY id),
@@ -377,7 +390,7 @@ def _ranked(found: DataFrame) -> DataFrame:
 
 @query(sql_bm25(["term = 'the'", "term = 'than'"], [0, 1], "f0 > 0 AND f1 > 0"))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(bm25.search(search_chunks(spark, sf_dir), "the than"))
+    return _ranked(indexed(spark, sf_dir).search("the than"))
 
 
 @query(sql_bm25(["term = 'und'", "term = 'les'"], [0, 1], "f0 > 0 OR f1 > 0", 10))
@@ -412,7 +425,13 @@ def bm25_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(bm25.search(search_chunks(spark, sf_dir), '"of the"'))
 
 
-@query()
+@query(
+    sql_bm25(["term = 'the'", "term = 'than'"], [0, 1], "f0 > 0 AND f1 > 0", 10, base="""k AS (SELECT doc_id AS id, text AS content, source AS title FROM documents)""").replace("SELECT id, round(score, 6) AS score, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM r ORDER BY rank LIMIT 10", "")
+    + f""", bm AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 10),
+vec AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {SQL_COSINE} DESC, vec_id) AS rank FROM embeddings, (SELECT {SQL_PROBE} AS q) QUALIFY rank <= 10),
+b AS (SELECT id, sum(1 / (60 + rank)) AS score FROM (SELECT * FROM bm UNION ALL SELECT * FROM vec) GROUP BY id)
+SELECT id, score, (row_number() OVER (ORDER BY score DESC, id))::INTEGER AS rank FROM b ORDER BY rank LIMIT 5"""
+)
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal rank fusion (an extension): documents by keyword, and by the vector with the same id."""
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("title"))
@@ -420,27 +439,37 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.fuse(bm25.search(d, "the than", 10), v)
 
 
-@query()
+@query(
+    sql_bm25(["term = 'the'", "term = 'than'"], [0, 1], "f0 > 0 AND f1 > 0")
+    .replace("SELECT id, round(score, 6) AS score, (row_number()", "SELECT r.id, score, (row_number()").replace("(ORDER BY score DESC, id))::INTEGER AS rank FROM r ORDER BY rank LIMIT 5", "(ORDER BY score DESC, r.id))::INTEGER AS rank, title, source_url, content FROM r JOIN k ON k.id = r.id ORDER BY rank LIMIT 5")
+    .replace("WITH ", "SELECT rank, round(score, 6) AS score, title, source_url AS url, 0 AS n_path, CASE WHEN length(content) > 200 THEN left(content, 200) || '…' ELSE content END AS snippet FROM (WITH ", 1) + ")"
+)
 def search_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.result_json(bm25.search(search_chunks(spark, sf_dir), "the than"))
+    """The JSON lines of a search, read again."""
+    lines = export.result_json(bm25.search(search_chunks(spark, sf_dir), "the than"))
+    r = F.from_json("line", "rank int, score double, title string, url string, heading_path array<string>, snippet string")
+    return lines.select(r.alias("r")).select("r.rank", F.round("r.score", 6).alias("score"), "r.title", "r.url", F.size("r.heading_path").alias("n_path"), "r.snippet")
 
 
 # --- store and export
 
 @query(
-    f"""WITH {sql_chunks(393, 355)} SELECT id, title, token_count FROM k WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0
-UNION ALL SELECT id, 'new', token_count FROM k WHERE doc_id % 3 = 0"""
+    f"""WITH {sql_chunks(393, 355)} SELECT id, CASE WHEN l.doc_id IS NULL THEN title ELSE 'new' END AS title, token_count
+FROM k LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = k.doc_id"""
 )
 def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.fixed_chunks(documents(spark, sf_dir))
-    old, new = c.filter("doc_id % 2 = 0"), c.filter("doc_id % 3 = 0").withColumn("title", F.lit("new"))
-    return dedup.upsert(old, new, ["id"]).select("id", "title", "token_count")
+    """All documents are indexed; those with labels come once more, with another title."""
+    store = indexed(spark, sf_dir)
+    labelled = read(spark, sf_dir, "labels").select(F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("source_url")).distinct()
+    store.index(store.table("chunks").join(labelled, "source_url", "left_semi").withColumn("title", F.lit("new")))
+    return store.table("chunks").select("id", "title", "token_count")
 
 
 @query(f"WITH {sql_chunks(393, 355)} SELECT id, source_url FROM k WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def delete_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.fixed_chunks(documents(spark, sf_dir))
-    return c.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("id", "source_url")
+    store = indexed(spark, sf_dir)
+    store.delete_sources(read(spark, sf_dir, "labels").select(F.concat(F.lit("https://docs.example.com/"), F.col("doc_id").cast("string")).alias("source_url")))
+    return store.table("chunks").select("id", "source_url")
 
 
 @query("SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
@@ -448,9 +477,10 @@ def left_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
 
 
-@query(f"WITH {sql_chunks(393, 355)} SELECT id, doc_id, len(embedding)::INTEGER AS dimensions FROM k LEFT JOIN embeddings ON vec_id = doc_id WHERE chunk_index = 0")
+@query(f"WITH {sql_chunks(393, 355)} SELECT id, doc_id, len(embedding)::INTEGER AS dimensions FROM k LEFT JOIN embeddings ON vec_id = doc_id")
 def export_left_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.fixed_chunks(documents(spark, sf_dir)).filter("chunk_index = 0").select("id", "doc_id")
+    """Every chunk with the vector of its document, where there is one."""
+    c = chunking.fixed_chunks(documents(spark, sf_dir)).select("id", "doc_id")
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     return c.join(e, "doc_id", "left").select("id", "doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimensions"))
 
@@ -468,16 +498,23 @@ def export_markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.markdown_files(chunking.fixed_chunks(documents(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {sql_chunks(393, 355)} SELECT id, content, source_url, title, true AS no_path, chunk_index, total_chunks, token_count, '' AS crawled_at, content_hash FROM k")
 def export_jsonl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return export.jsonl_rows(chunking.fixed_chunks(documents(spark, sf_dir)))
+    """The JSON lines, read again."""
+    lines = export.jsonl_rows(chunking.fixed_chunks(documents(spark, sf_dir)))
+    r = F.from_json("line", "id string, content string, source_url string, title string, heading_path array<string>, chunk_index int, total_chunks int, token_count int, crawled_at string, content_hash string")
+    read_again = lines.select(r.alias("r")).select("r.*")
+    return read_again.withColumn("no_path", F.col("heading_path").isNull()).drop("heading_path")
 
 
 @query("SELECT key, arg_max(value, v) AS value FROM (SELECT event_type AS key, event_id AS v, user_id::VARCHAR AS value FROM events) GROUP BY key")
 def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest value of each key."""
+    """The newest value of each key, kept in a store that had another."""
+    store = new_store(spark)
     e = read(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("v"))
-    return dedup.first_by(e, ["key"], [-F.col("v")]).select("key", "value")
+    store.set_metas(e.select("key").distinct().withColumn("value", F.lit("old")))
+    store.set_metas(e, version="v")
+    return store.table("meta")
 
 
 # --- frontier, rates
@@ -485,7 +522,7 @@ def meta_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH RECURSIVE u AS (SELECT page_id, url, {sql_url("url")} AS norm_url FROM pages),
 e AS (SELECT DISTINCT a.norm_url AS src, b.norm_url AS dst FROM u a JOIN u b ON b.page_id = 2 * a.page_id + 1 OR b.page_id = 2 * a.page_id + 2),
-b AS (SELECT norm_url, 0 AS depth FROM u WHERE page_id = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.norm_url WHERE b.depth < 6)
+b AS (SELECT norm_url, 0 AS depth FROM u WHERE page_id = 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.norm_url)
 SELECT norm_url, min(depth)::INTEGER AS depth FROM b GROUP BY norm_url"""
 )
 def link_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,7 +531,7 @@ def link_frontier_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = p.select(F.explode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("page_id"), F.col("url").alias("src"))
     edges = kids.join(p.withColumnRenamed("url", "dst"), "page_id").select("src", "dst")
     start = p.filter("page_id = 0").select("url", urls.normalize_url(F.col("url")).alias("norm_url"), F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.lit("seed").alias("discovered_by"))
-    return frontier.traverse(start, edges, Scope(max_depth=6)).select("norm_url", "depth")
+    return frontier.traverse(start, edges, Scope()).select("norm_url", "depth")
 
 
 @query(
@@ -514,8 +551,11 @@ def ratelimit_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT l.label, count(*) AS n, round(avg(len(e.embedding)), 6) AS dims FROM (SELECT DISTINCT label FROM embeddings) l JOIN embeddings e ON e.label = l.label GROUP BY l.label"""
+    f"""WITH {sql_chunks(393, 355)} SELECT k.id, doc_id, chunk_index, label, round({SQL_COSINE}, 6) AS score
+FROM k JOIN embeddings ON vec_id = doc_id, (SELECT {SQL_PROBE} AS q)"""
 )
 def cosine_join_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "embeddings")
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.size("embedding")), 6).alias("dims"))
+    """Chunks joined to the vector of their document (those without drop out), each with its cosine to the probe."""
+    c = chunking.fixed_chunks(documents(spark, sf_dir)).select("id", "doc_id", "chunk_index")
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", vectors.cosine(F.col("embedding").cast("array<double>"), F.array(*(F.lit(x) for x in PROBE))).alias("raw"))
+    return c.join(e, "doc_id").select("id", "doc_id", "chunk_index", "label", F.round("raw", 6).alias("score"))
