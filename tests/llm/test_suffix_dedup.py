@@ -58,15 +58,32 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot", [4_000, 2])
-def test_removes_what_repeats(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
+@pytest.mark.parametrize(("hot", "bits"), [(1_000, 64), (2, 64), (1_000, 3), (2, 3)])
+def test_removes_what_repeats(spark, hot, bits):
+    """With hot buckets, and with hashes that collide all the time: the sort decides."""
     texts = corpus()
-    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, k1 string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df).collect()}
+    df = spark.createDataFrame([(i, t, "k", "id") for i, t in enumerate(texts)], "doc_id long, text string, k1 string, id string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df, hot_blocks=hot, bits=bits).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize("hot", [1_000, 1])
+def test_random_texts_of_few_letters(spark, hot):
+    rng = random.Random(hot)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randint(60, 260))) for _ in range(6)] + ["a" * 230, "ab" * 150]
+    texts = ["".join(rng.choice(parts)[rng.randint(0, 50) :] for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df, hot_blocks=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+
+
+def test_columns_of_any_name(spark):
+    t = "".join(random.Random(5).choice("abc") for _ in range(260))
+    df = spark.createDataFrame([(1, t + "x", 1, 2, 3, 4), (2, t + "y", 5, 6, 7, 8)], "doc_id long, text string, _k1 int, _k2 int, _kept int, KEY int")
+    got = suffix_dedup.remove_repeats(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == [(1, "x", 1, 2, 3, 4), (2, "y", 5, 6, 7, 8)]
+
+
 def test_repeated_rows_and_null_ids(spark):
     t = "".join(random.Random(1).choice("abc") for _ in range(300))
     rows = [(1, t), (1, t), (None, "q" + t[:200]), (None, None), (2, "unique")]

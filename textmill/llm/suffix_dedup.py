@@ -11,15 +11,17 @@ by itself (suffix_sort), with long ties resolved by cover-sample ranks.
    bytes of text, with hashes of the anchor gram and of all bytes of the run.
 2. Anchors are counted over all documents (map-side partial counts, so a hot
    passage is one row per task). An anchor met once has no repeated window, and
-   goes. Whole runs met twice or more are repeated as they stand; these counts
-   are the pre-aggregation of copies, and leave one block of each to be sorted.
-3. Of anchors with differing runs, each differing run is cut by offset from the
-   anchor into blocks of up to `SPAN` windows. A block's bucket is the hash of
-   the bytes that all windows of its offsets share. Buckets with one block go.
-   The rest is sorted bucket by bucket in `sort_blocks`.
-   A bucket with more than `HOT_BLOCKS` blocks (a passage with that many
-   different neighbours) isn't gathered: its windows are dealt out one by one.
-4. Repeated windows become byte ranges of their documents, and are cut out.
+   goes.
+3. Copies are pre-aggregated: of runs with equal bytes (by a 128-bit digest),
+   two stand for all. The runs that stand are cut by offset from the anchor into
+   blocks of up to `SPAN` windows. A block's bucket is the digest of the bytes
+   that all windows of its offsets share. Buckets with one block go, the rest is
+   sorted bucket by bucket in `sort_blocks`, which compares bytes. What the
+   sort finds of a run that stands for copies holds for each of them.
+4. A bucket of more than `HOT_BLOCKS` blocks (a passage with that many different
+   neighbours) isn't gathered. Its windows are dealt out one by one and
+   pre-aggregated like runs: two of each go through the same sort.
+5. Repeated windows become byte ranges of their documents, and are cut out.
 
 Whole texts take part; nothing is capped. What travels: rows of runs, the bytes
 of blocks in step 3, and the texts of documents that lose something.
@@ -39,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, row_digest
 from .suffix_sort import repeated
 
-DEPTH, GRAM, SPAN, HOT_BLOCKS = 200, 48, 64, 4_000
+DEPTH, GRAM, SPAN, HOT_BLOCKS = 200, 48, 64, 1_000
 #: Bytes that are hashed at a time; places within them fit into PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 18, 20
 
@@ -70,7 +72,8 @@ class Hashes:
 
     _up = _down = np.zeros(0, np.uint64)
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, bits: int = 64):
+        self.bits = bits
         if len(Hashes._up) < len(data) + 1:
             n = max(PIECE + 2 * DEPTH, len(data) + 1)
             Hashes._up, Hashes._down = _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
@@ -78,7 +81,7 @@ class Hashes:
         np.cumsum(_BYTE[data] * Hashes._up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray | slice, stop: np.ndarray | slice) -> np.ndarray:
-        return _mix((self.sums[stop] - self.sums[start]) * Hashes._down[start])
+        return _mix((self.sums[stop] - self.sums[start]) * Hashes._down[start]) >> np.uint64(64 - self.bits)
 
 
 def _window_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -90,11 +93,12 @@ def _window_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if n > done else x
 
 
-def anchor_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+def anchor_runs(data: np.ndarray, starts: np.ndarray, bits: int = 64) -> tuple[np.ndarray, ...]:
     """Runs of the documents data[starts[k]:starts[k + 1]].
 
-    Returns document, start within it, number of windows, offset of the anchor from the start, anchor hash, run hash.
+    Returns document, start within it, number of windows, offset of the anchor from the start, anchor hash.
     Long input is taken in pieces; where a piece ends, a run may be cut in two, which costs a row and no result.
+    Hashes only choose and group: any number of `bits` gives the same result in the end.
     """
     parts = []
     grams_in = DEPTH - GRAM + 1
@@ -102,11 +106,11 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     while at + DEPTH <= end:
         stop = min(at + PIECE, end)
         piece = data[at:stop]
-        h = Hashes(piece)
+        h = Hashes(piece, bits)
         size = len(piece)
         gram = h.of(slice(0, size - GRAM + 1), slice(GRAM, size + 1))
         mask = np.uint64((1 << PLACE_BITS) - 1)
-        key = (gram & ~mask) | np.arange(len(gram), dtype=np.uint64)
+        key = (gram << np.uint64(64 - bits) & ~mask) | np.arange(len(gram), dtype=np.uint64)
         anchor = (_window_min(key, grams_in) & mask).astype(np.int64)  # of each window start in the piece
         first, last = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, stop, "left"))
         doc = np.repeat(np.arange(first, last), np.diff(np.clip(starts[first : last + 1], at, stop)))
@@ -120,10 +124,10 @@ def anchor_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
             b = np.flatnonzero(new)
             m = np.diff(np.append(b, len(place)))
             s = place[b]
-            parts.append((own[b], s + at - starts[own[b]], m, mine[b] - s, gram[mine[b]], h.of(s, s + m - 1 + DEPTH)))
+            parts.append((own[b], s + at - starts[own[b]], m, mine[b] - s, gram[mine[b]]))
         at = stop - DEPTH + 1
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
+        return tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -136,29 +140,45 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def row_keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """k1, k2, text: rows have equal keys only if id and text are equal."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    known = F.coalesce(F.col(doc_id).cast("string"), F.lit("\0"))
-    return docs.select(F.col(doc_id), F.xxhash64(known, t).alias("k1"), F.xxhash64(F.lit(7), t, known).alias("k2"), t.alias("text"))
+    """id, k1, k2, text: rows have equal keys only if id and text are equal."""
+    key = row_digest(F.col(doc_id), F.col(text))
+    return docs.select(F.col(doc_id).alias("id"), key["k1"].alias("k1"), key["k2"].alias("k2"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def _runs(keyed: DataFrame) -> DataFrame:
+RUN = "k1 long, k2 long, start int, m int, off int, fp long, s1 long, s2 long"
+
+
+def _halves(found: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """128-bit digests as two numbers each."""
+    both = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
+def _runs(keyed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, start, m, off, fp, sh = anchor_runs(*_buffers(b.column(2)))
+            data, starts = _buffers(b.column(2))
+            doc, start, m, off, fp = anchor_runs(data, starts, bits)
+            view, begin = memoryview(data), starts[doc] + start
+            own = [hashlib.blake2b(view[x:y], digest_size=16).digest() for x, y in zip(begin.tolist(), (begin + m - 1 + DEPTH).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (start, m, off)), pa.array(fp.view(np.int64)), pa.array(sh.view(np.int64))],
-                ["k1", "k2", "start", "m", "off", "fp", "sh"],
+                [b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (start, m, off)), pa.array(fp.view(np.int64)), *_halves(own)],
+                ["k1", "k2", "start", "m", "off", "fp", "s1", "s2"],
             )
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, start int, m int, off int, fp long, sh long")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, RUN)
 
 
-BLOCK = "core long, k1 long, k2 long, start int, m int, fresh boolean, data binary"
+#: of: the copies that a run or window stands for have this digest; null if it stands for itself.
+BLOCK = "core long, k1 long, k2 long, start int, m int, of struct<s1:long,s2:long>, data binary"
+_OF = pa.struct([("s1", pa.int64()), ("s2", pa.int64())])
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _OF, pa.binary())
+NAMES = ["core", "k1", "k2", "start", "m", "of", "data"]
+RANGES = "k1 long, k2 long, start int, stop int, of struct<s1:long,s2:long>"
 
 
 def _blocks(with_text: DataFrame) -> DataFrame:
-    """k1, k2, text, runs -> blocks of up to SPAN windows. fresh: not known to be repeated."""
+    """k1, k2, text, runs -> blocks of up to SPAN windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +195,7 @@ def _blocks(with_text: DataFrame) -> DataFrame:
                         a = i + off - base  # where the window at the least offset of the block would start
                         core = data[a : a - SPAN + 1 + DEPTH]
                         digest = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=base.to_bytes(4, "little")).digest(), "little", signed=True)
-                        out.append((digest, k1, k2, i, m, r["fresh"], data[i : i + m - 1 + DEPTH]))
+                        out.append((digest, k1, k2, i, m, r["of"], data[i : i + m - 1 + DEPTH]))
                         i, off = i + m, low - 1
                     if len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
@@ -186,15 +206,12 @@ def _blocks(with_text: DataFrame) -> DataFrame:
     return with_text.select("k1", "k2", "text", "runs").mapInArrow(run, BLOCK)
 
 
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-NAMES = ["core", "k1", "k2", "start", "m", "fresh", "data"]
-RANGES = "k1 long, k2 long, start int, stop int"
 #: Bytes of blocks that are sorted at a time.
 SORT_BYTES = 8_000_000
 
 
 def _sorted_ranges(rows: list[tuple]) -> Iterator[tuple]:
-    """Byte ranges of fresh blocks whose windows are repeated among the rows."""
+    """Byte ranges of blocks whose windows are repeated among the rows."""
     text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
     begin = np.cumsum([0] + [len(r[6]) for r in rows[:-1]])
     m = np.array([r[4] for r in rows])
@@ -203,19 +220,19 @@ def _sorted_ranges(rows: list[tuple]) -> Iterator[tuple]:
     edge = np.cumsum(np.append(0, m))
     for k, r in enumerate(rows):
         own = hit[edge[k] : edge[k + 1]]
-        if r[5] and own.any():
+        if own.any():
             e = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
             for x, y in zip(e[::2], e[1::2], strict=True):
-                yield r[1], r[2], r[3] + int(x), r[3] + int(y) - 1 + DEPTH
+                yield r[1], r[2], r[3] + int(x), r[3] + int(y) - 1 + DEPTH, r[5]
 
 
 def sort_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks, with all of a bucket in one partition and in order of it -> ranges; whole buckets are sorted SORT_BYTES at a time."""
+    """Blocks -> ranges. A bucket is gathered in one task, in order; whole buckets are sorted SORT_BYTES at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
             found = list(_sorted_ranges(rows))
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), _OF))], ["k1", "k2", "start", "stop", "of"])
 
         held: list[tuple] = []
         group: list[tuple] = []
@@ -236,45 +253,55 @@ def sort_blocks(blocks: DataFrame) -> DataFrame:
         if held:
             yield out(held)
 
-    return blocks.select(*NAMES).mapInArrow(run, RANGES)
+    return blocks.select(*NAMES).repartition("core").sortWithinPartitions("core").mapInArrow(run, RANGES)
 
 
-def _hot_ranges(blocks: DataFrame) -> DataFrame:
-    """Windows of hot buckets, one by one, counted by their bytes (two hashes) with map-side partial counts."""
-    one = blocks.select(
-        "core", "k1", "k2", "fresh", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.substring(F.col("data"), i + 1, DEPTH))).alias("i", "w"), "start"
-    ).select("core", "k1", "k2", "fresh", (F.col("start") + F.col("i")).alias("start"), F.xxhash64("w").alias("a"), F.xxhash64(F.lit(3), "w").alias("b"))
-    many = one.groupBy("core", "a", "b").count().filter("count > 1").drop("count")
-    return one.filter("fresh").join(many, ["core", "a", "b"], "left_semi").select("k1", "k2", "start", (F.col("start") + DEPTH).alias("stop"))
+def _two_of_each(rows: DataFrame, key: list[str], take: list[str]) -> DataFrame:
+    """For each key its only row, or the least and the greatest of many (equal ones if the rows are); partial in each task."""
+    row = F.struct(*take)
+    ends = rows.groupBy(*key).agg(F.min(row).alias("a"), F.max(row).alias("b"), (F.count("*") > 1).alias("many"))
+    return ends.select(*key, "many", F.explode(F.when(F.col("many"), F.array("a", "b")).otherwise(F.array("a"))).alias("r")).select(*key, "many", "r.*")
 
 
-def repeated_ranges(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+def _hot_ranges(blocks: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ranges of the blocks of hot buckets: window by window, two of each through the sort."""
+    one = blocks.select(
+        "k1", "k2", "of", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.substring(F.col("data"), i + 1, DEPTH))).alias("i", "w"), "start"
+    )
+    digest = F.md5("w")
+    half = lambda at: F.conv(F.substring(F.col("_d"), at, 16), 16, -10).cast("long")
+    one = one.withColumn("_d", digest).select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), half(1).alias("s1"), half(17).alias("s2"), "w", "of")
+    one = scratch.write("windows", one)
+    stand = _two_of_each(one, ["s1", "s2"], ["k1", "k2", "start", "w"]).filter("many")
+    sides = stand.select(F.xxhash64("s1", "s2").alias("core"), "k1", "k2", "start", F.lit(1).alias("m"), F.struct("s1", "s2").alias("of"), F.col("w").alias("data"))
+    known = scratch.write("hot", sort_blocks(sides).select("of.s1", "of.s2").distinct())
+    # written first, so that both sides have an exchange of their own and a hot window can be split
+    return one.join(known, ["s1", "s2"]).select("k1", "k2", "start", (F.col("start") + DEPTH).alias("stop"), "of")
+
+
+def repeated_ranges(keyed: DataFrame, scratch: Scratch, bits: int = 64, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """k1, k2, start, stop: byte ranges, which may overlap, made of repeated windows."""
-    runs = scratch.write("runs", _runs(keyed))
-    met = runs.groupBy("fp").agg(F.count("*").alias("n"), F.min("sh").alias("a"), F.max("sh").alias("b")).filter("n > 1")
+    runs = scratch.write("runs", _runs(keyed, bits))
+    met = runs.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     # written first, so that both sides of the join have an exchange of their own and a hot anchor can be split
-    met = scratch.write("met", met.select("fp", (F.col("a") != F.col("b")).alias("differ")))
-    kept = scratch.write("kept", runs.join(met, "fp"))
+    kept = scratch.write("kept", runs.join(scratch.write("met", met), "fp"))
     scratch.drop("runs", "met")
-    # copies of a whole run; one of them stands for all in the sort
-    rid = F.xxhash64("k1", "k2", "start")
-    copies = kept.filter("differ").groupBy("fp", "sh").agg(F.count("*").alias("n"), F.min(rid).alias("rid"))
-    copies = scratch.write("copies", copies)
-    differing = scratch.write("differing", kept.filter("differ").join(copies, ["fp", "sh"]).withColumn("lead", rid == F.col("rid")).drop("rid"))
-    whole = kept.filter("not differ").select("k1", "k2", "start", "m").unionByName(differing.filter("n > 1").select("k1", "k2", "start", "m"))
-    whole = whole.select("k1", "k2", "start", (F.col("start") + F.col("m") - 1 + DEPTH).alias("stop"))
-
-    leads = differing.filter("lead").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "m", "off", (F.col("n") == 1).alias("fresh"))).alias("runs"))
-    texts = keyed.select("k1", "k2", "text").join(leads, ["k1", "k2"])
-    blocks = scratch.write("blocks", _blocks(texts))
-    hot = blocks.groupBy("core").count().filter(F.col("count") > HOT_BLOCKS).select("core")
+    stand = _two_of_each(kept, ["s1", "s2"], ["k1", "k2", "start", "m", "off"])
+    of = F.when(F.col("many"), F.struct("s1", "s2"))
+    leads = scratch.write("leads", stand.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "m", "off", of.alias("of"))).alias("runs")))
+    blocks = scratch.write("blocks", _blocks(keyed.select("k1", "k2", "text").join(leads, ["k1", "k2"])))
+    scratch.drop("leads")
+    hot = blocks.groupBy("core").count().filter(F.col("count") > hot_blocks).select("core")
+    hot = scratch.write("hot_cores", hot)
     any_hot = not hot.isEmpty()
-    calm = blocks.join(hot, "core", "left_anti") if any_hot else blocks
-    found = scratch.write("found", sort_blocks(calm.repartition("core").sortWithinPartitions("core")))
+    found = scratch.write("found", sort_blocks(blocks.join(hot, "core", "left_anti") if any_hot else blocks))
     if any_hot:
-        found = found.unionByName(scratch.write("hot", _hot_ranges(blocks.join(hot, "core"))))
-    scratch.drop("blocks")
-    return whole.unionByName(found)
+        found = found.unionByName(scratch.write("found_hot", _hot_ranges(blocks.join(hot, "core"), scratch)))
+    scratch.drop("blocks", "windows", "hot")
+    # runs that stand for copies, and that the sort has found to be repeated
+    whole = found.filter("of is not null").select("of.s1", "of.s2").distinct()
+    copies = kept.join(scratch.write("whole", whole), ["s1", "s2"]).select("k1", "k2", "start", (F.col("start") + F.col("m") - 1 + DEPTH).alias("stop"))
+    return found.filter("of is null").select("k1", "k2", "start", "stop").unionByName(copies)
 
 
 def cut_out(with_ranges: DataFrame) -> DataFrame:
@@ -301,10 +328,10 @@ def cut_out(with_ranges: DataFrame) -> DataFrame:
     return with_ranges.select("k1", "k2", "text", "ranges").mapInArrow(run, "k1 long, k2 long, spans array<struct<start:int,stop:int>>, n_removed long, sha256 string, kept_text string")
 
 
-def removed(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", bits: int = 64, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """One row for each distinct (id, text) that loses bytes: k1, k2, spans, n_removed, sha256 and text of what is kept."""
     keyed = row_keys(docs, doc_id, text)
-    ranges = repeated_ranges(keyed, scratch).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    ranges = repeated_ranges(keyed, scratch, bits, hot_blocks).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
     return cut_out(keyed.select("k1", "k2", "text").join(ranges, ["k1", "k2"]))
 
 
@@ -312,13 +339,15 @@ def _one_each(cut: DataFrame) -> DataFrame:
     return cut.dropDuplicates(["k1", "k2"])
 
 
-def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 64, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """Per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256. Texts that stay whole never leave their task."""
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
-    cut = scratch.write("cut", _one_each(removed(docs, scratch, doc_id, text).select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans"), "sha256")))
-    rows = row_keys(docs, doc_id, text).select(doc_id, "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all_sha256"))
+    cut = scratch.write("cut", _one_each(removed(docs, scratch, doc_id, text, bits, hot_blocks).select("k1", "k2", "n_removed", F.size("spans").cast("long").alias("n_spans"), "sha256")))
+    scratch.drop("kept", "found", "found_hot", "whole")
+    rows = row_keys(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", "text")
+    rows = rows.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all_sha256"))
     return rows.join(cut, ["k1", "k2"], "left").select(
-        doc_id, "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
+        F.col("id").alias(doc_id), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha256", "all_sha256").alias("kept_sha256"),
     )
 
@@ -330,8 +359,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     cut = scratch.write("cut", _one_each(removed(docs, scratch, doc_id, text).select("k1", "k2", "kept_text")))
-    known, t = F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.withColumn("_k1", F.xxhash64(known, t)).withColumn("_k2", F.xxhash64(F.lit(7), t, known))
-    cut = cut.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept_text").alias("_kept"))
-    out = joined.join(cut, ["_k1", "_k2"], "left").withColumn(to, F.coalesce("_kept", text))
-    return out.drop("_k1", "_k2", "_kept")
+    scratch.drop("kept", "found", "found_hot", "whole")
+    key, kept = fresh("key", docs.columns), fresh("kept", docs.columns)
+    joined = docs.withColumn(key, row_digest(F.col(doc_id), F.col(text)))
+    out = joined.join(cut.select(F.struct("k1", "k2").alias(key), F.col("kept_text").alias(kept)), key, "left").withColumn(to, F.coalesce(F.col(kept), F.col(text)))
+    return out.drop(key, kept)
