@@ -3,8 +3,9 @@
 Two texts are linked if the multisets of their 5-word shingles have a weighted
 Jaccard similarity of 0.8 or more; classes are the components of all links.
 
-1. Each text gets a signature of M components, its bands, and a key of its
-   shingle multiset. Texts with equal keys are one node: copies cost one row.
+1. Each text gets a signature of M components, its bands, and two 64-bit keys of
+   its shingle multiset. Texts with equal keys are one node: copies cost one row.
+   A node is named by its first key; where two nodes share that, by both.
 2. Each bucket of a band is a star: its least node is held against the others,
    so a bucket of n nodes makes n - 1 pairs. A node keeps the most promising of
    its pairs by signature; that pair is verified on whole multisets. The
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import mix, signatures
-from .common import Scratch, broadcast_if_small
+from .common import Scratch, broadcast_if_small, fresh, row_digest, without_rows
 from .components import components
 from .suffix_dedup import row_keys
 
@@ -89,7 +90,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(keyed: DataFrame) -> DataFrame:
-    """k1, k2, text -> k1, k2, node, sketch (a byte of each component), bands; texts without words are left out."""
+    """k1, k2, text -> k1, k2, node, more (the second key), sketch (a byte of each component), bands; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,7 +103,8 @@ def _signed(keyed: DataFrame) -> DataFrame:
                 element, weight = np.concatenate([bags[k][0] for k in some]), np.concatenate([bags[k][1] for k in some])
                 owner = np.repeat(np.arange(len(some)), sizes)
                 marks = signatures(owner, element, weight, len(some), M)
-                node = mix(np.add.reduceat(mix(element * _U(3) + weight.astype(np.uint64) * _U(0x9FB21C651E98DF25)), np.cumsum([0, *sizes[:-1]])))
+                first = np.cumsum([0, *sizes[:-1]])
+                node, more = (mix(np.add.reduceat(mix(element * _U(a) + weight.astype(np.uint64) * _U(b)), first)) for a, b in ((3, 0x9FB21C651E98DF25), (0xD1B54A32D192ED03, 0xAEF17502108EF2D9)))
                 band = np.zeros((len(some), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                 for k in range(ROWS):
                     band = mix(band * _U(0x9E3779B97F4A7C15) + marks[:, k::ROWS])
@@ -110,11 +112,11 @@ def _signed(keyed: DataFrame) -> DataFrame:
                 take = pa.array(some)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32)), pa.array(band.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(node.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), bands],
-                    ["k1", "k2", "node", "sketch", "bands"],
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(node.view(np.int64)), pa.array(more.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), bands],
+                    ["k1", "k2", "node", "more", "sketch", "bands"],
                 )
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, node long, sketch binary, bands array<long>")
+    return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, node long, more long, sketch binary, bands array<long>")
 
 
 def _bags(texts: DataFrame) -> DataFrame:
@@ -218,10 +220,20 @@ def _promising(pairs: DataFrame) -> DataFrame:
     return pairs.select("node", "rep", "sketch", "other").mapInArrow(run, "node long, rep long, est double")
 
 
+def named_apart(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """Different nodes of one name get a name from both keys, so that 64 bits serve as names and 128 tell nodes apart."""
+    shared = signed.groupBy("node").agg(F.min("more").alias("a"), F.max("more").alias("b")).filter("a <> b").select("node", F.lit(True).alias("shared"))
+    shared = scratch.write("shared", shared)
+    if shared.isEmpty():
+        return signed.drop("more")
+    apart = signed.join(shared, "node", "left").withColumn("node", F.when(F.col("shared"), F.xxhash64("node", "more")).otherwise(F.col("node")))
+    return scratch.write("apart", apart.drop("more", "shared"))
+
+
 def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """k1, k2, class for each distinct (id, text) that has words. class: a node of the class."""
+    """k1, k2, class for each distinct (id, text) that has words, as a written table. class: a node of the class."""
     keyed = row_keys(docs, doc_id, text)
-    signed = scratch.write("signed", _signed(keyed))
+    signed = named_apart(scratch.write("signed", _signed(keyed)), scratch)
     nodes = scratch.write("nodes", signed.dropDuplicates(["node"]))
     bands = nodes.select("node", F.explode("bands").alias("band"))
     full = bands.groupBy("band").agg(F.min("node").alias("rep"), F.max("node").alias("top")).filter("rep <> top").select("band", "rep")
@@ -263,33 +275,42 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     joined = _joined(sides.select("part", "side", "node", "comp", "sketch", "bag").repartition("part").sortWithinPartitions("part"), least)
     second = components(joined, scratch, "second")
     labels = labelled(labelled(signed.select("k1", "k2", "node"), "node", first, "comp"), "comp", second, "class")
-    return labels.select("k1", "k2", "class")
+    found = scratch.write("classes", labels.select("k1", "k2", "class").distinct())
+    scratch.drop("signed", "shared", "apart", "nodes", "full", "members", "sketches", "bags", "residual")
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """Per row of docs: id, class_id (the least id of its class) and class_size (rows of the class)."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    found = scratch.write("classes", classes(docs, scratch, doc_id, text, least).distinct())
-    rows = scratch.write("rows", row_keys(docs, doc_id, text).select(doc_id, "k1", "k2").join(found, ["k1", "k2"], "left").select(doc_id, "class"))
-    named = rows.filter("class is not null").groupBy("class").agg(F.min(doc_id).alias("class_id"), F.count("*").alias("class_size"))
+    found = classes(docs, scratch, doc_id, text, least)
+    rows = scratch.write("rows", row_keys(docs, doc_id, text).select("id", "k1", "k2").join(found, ["k1", "k2"], "left").select("id", "class"))
+    scratch.drop("classes")
+    named = rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(scratch.write("named", named), "class", "left").select(
-        doc_id, F.when(F.col("class").isNull(), F.col(doc_id)).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
+        F.col("id").alias(doc_id), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs with one of each class: that of the least id, then of the least keys. Rows without words all stay."""
+    """The rows of docs with one of each class: that of the least id, then of the least keys. Rows without words all stay.
+
+    Only keys are exchanged: texts that stay meet the keys of those that go where they are read.
+    """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    found = scratch.write("classes", classes(docs, scratch, doc_id, text, least).distinct())
-    keyed = row_keys(docs, doc_id, text).select(F.col(doc_id).alias("_id"), "k1", "k2").distinct().join(found, ["k1", "k2"])
-    order = F.struct(F.col("_id").isNull(), F.col("_id"), "k1", "k2")
-    first = keyed.groupBy("class").agg(F.min(order).alias("m"))
-    gone = scratch.write("gone", keyed.join(first, "class").filter((F.col("k1") != F.col("m.k1")) | (F.col("k2") != F.col("m.k2"))).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
-    known, t = F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    left = docs.withColumn("_k1", F.xxhash64(known, t)).withColumn("_k2", F.xxhash64(F.lit(7), t, known)).join(gone, ["_k1", "_k2"], "left_anti")
+    found = classes(docs, scratch, doc_id, text, least)
+    keys = row_keys(docs, doc_id, text).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    keyed = scratch.write("keyed", keys.join(found, ["k1", "k2"]).withColumn("spot", F.struct(F.col("id").isNull(), F.col("id"), "k1", "k2")))
+    # written first, so that both sides of the join have an exchange of their own and a hot class can be split
+    first = scratch.write("first", keyed.groupBy("class").agg(F.min("spot").alias("m")))
+    placed = scratch.write("placed", keyed.join(first, "class").select("k1", "k2", "n", (F.col("spot") == F.col("m")).alias("stays")))
+    scratch.drop("classes", "keyed", "first")
+    left = without_rows(docs, placed.filter("not stays"), doc_id, text)
     # equal rows (same id, same text) have the same keys; one of them stays if they have words
-    many = left.groupBy("_k1", "_k2").count().filter("count > 1").select("_k1", "_k2").join(found.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")), ["_k1", "_k2"], "left_semi")
+    many = placed.filter("stays and n > 1").select("k1", "k2")
     if many.isEmpty():
-        return left.drop("_k1", "_k2")
-    single = left.join(many, ["_k1", "_k2"], "left_anti")
-    return single.unionByName(left.join(many, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])).drop("_k1", "_k2")
+        return left
+    key = fresh("key", docs.columns)
+    again = left.withColumn(key, row_digest(F.col(doc_id), F.col(text)))
+    twins = again.join(broadcast_if_small(many.select(F.struct("k1", "k2").alias(key))), key, "left_semi").dropDuplicates([key])
+    return without_rows(left, many, doc_id, text).unionByName(twins.select(*docs.columns))
