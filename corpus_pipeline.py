@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm import bpe, near_dedup, positional_index, quality_rules, suffix_dedup
-from textmill.llm.common import Scratch, table
+from textmill.llm.common import Scratch, table, without_rows
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality_rules.apply_rules(docs.withColumn("_row", F.struct(*docs.columns)))
-    return judged.filter("kept").select("_row.*")
+    judged = quality_rules.apply_rules(docs.select(F.struct(*docs.columns).alias("row"), "text"))
+    return judged.filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,8 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     keys = suffix_dedup.row_keys(docs, "doc_id", "text").select(F.struct("k1", "k2").alias("doc_id"), "text")
-    hit = positional_index.find(keys, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id.k1").alias("_k1"), F.col("doc_id.k2").alias("_k2")).distinct()
-    known, t = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")), F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_k1", F.xxhash64(known, t)).withColumn("_k2", F.xxhash64(F.lit(7), t, known))
-    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    hit = positional_index.find(keys, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id.*").distinct()
+    return without_rows(docs, Scratch(spark, "decontaminated").write("hit", hit), "doc_id", "text")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
