@@ -47,7 +47,7 @@ SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 M = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
-BLOCK = 256
+BLOCK = 128
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 500_000
 
