@@ -17,8 +17,11 @@ def test_config():
     assert len(str(e.value).splitlines()) == 4
     cfg = load_yaml("source:\n  url: https://h/\ncrawl:\n  max_depth: 3\n  workers: 0\n  timeout: 5s\n  include: ['/a/*']\n", rate_limit=2.0)
     assert (cfg.seed_url, cfg.max_depth, cfg.workers, cfg.timeout_s, cfg.includes, cfg.rate_limit) == ("https://h/", 3, 10, 5.0, ("/a/*",), 2.0)
-    with pytest.raises(ValueError):
-        load_yaml("ingest:\n  x: 1\n")
+    text = "source:\n  url: https://h/\ncrawl:\n  includes: ['/a/*']\n  excludes: ['/b']\n  timeout_sec: 7\n  resume: true\nembedding:\n  embedder: tfidf\n  model: m\n  batch: 9\noutput:\n  dir: ./o\n  verbose: true\n"
+    cfg2 = load_yaml(text)
+    assert (cfg2.includes, cfg2.excludes, cfg2.timeout_s, cfg2.resume, cfg2.embedder, cfg2.embedding_model, cfg2.embedding_batch, cfg2.output_dir, cfg2.verbose) == (("/a/*",), ("/b",), 7.0, True, "tfidf", "m", 9, "./o", True)
+    with pytest.warns(UserWarning):
+        assert load_yaml("ingest:\n  x: 1\ncrawl:\n  y: 2\n") == Config()
     assert "dir: ./docs-example-com" in template("https://www.docs.example.com/")
     assert load_yaml(template("https://h/")).max_depth == 3
     assert cfg.with_(workers=4).workers == 4

@@ -24,6 +24,7 @@ def jsonl_rows(chunks: DataFrame, with_vectors: bool = False) -> DataFrame:
     return chunks.select(line.alias("line"))
 
 
+#: The columns and their order.
 CSV_COLUMNS = ("id", "source_url", "title", "heading_path", "content", "token_count", "content_hash")
 
 
@@ -33,6 +34,7 @@ def csv_rows(chunks: DataFrame) -> DataFrame:
 
 
 def _block() -> Column:
+    """Fixed value: the layout of a chunk in Markdown."""
     head = F.when(F.size("heading_path") > 0, join_path(F.col("heading_path"), ARROW)).otherwise(F.col("title"))
     return F.concat(F.lit("# "), head, F.lit("\n\n**Source:** "), F.col("source_url"), F.lit("\n\n"), F.col("content"), F.lit("\n\n---\n\n"))
 
@@ -50,6 +52,21 @@ def markdown_files(chunks: DataFrame) -> DataFrame:
     return files.join(least, "base").select(F.concat(name, F.lit(".md")).alias("name"), "source_url", "text")
 
 
+def lines(chunks: DataFrame, form: str = "jsonl", with_vectors: bool = False) -> DataFrame:
+    """One column, `line`, in order of source and index: what `export` writes in its text forms."""
+    ordered = chunks.orderBy("source_url", "chunk_index")
+    if form == "jsonl":
+        return jsonl_rows(ordered, with_vectors)
+    if form == "markdown":
+        return ordered.select(F.regexp_replace(_block(), r"\n\z", "").alias("line"))
+    if form == "csv":
+        rows = csv_rows(ordered)
+        head = ordered.sparkSession.createDataFrame([(",".join(CSV_COLUMNS),)], "line string")
+        quoted = (F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in CSV_COLUMNS)
+        return head.unionByName(rows.select(F.concat_ws(",", *quoted).alias("line")))
+    raise ValueError(f"{form} isn't a form of text")
+
+
 def export(chunks: DataFrame, path: str, form: str = "jsonl", with_vectors: bool = False) -> None:
     """Writes a folder of part files, in order of source and index within each."""
     if form not in FORMATS:

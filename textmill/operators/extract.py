@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 DOCUMENT = (
     "url string, title string, description string, markdown string, headings array<struct<level:int,text:string>>, "
-    "links array<string>, word_count int, content_hash string"
+    "links array<string>, word_count int, content_hash string, error string"
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template svg head".split())
@@ -22,10 +22,11 @@ BOILERPLATE = frozenset("nav aside footer header form".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "up")
+    __slots__ = ("tag", "attrs", "kids", "up", "number")
 
     def __init__(self, tag: str, attrs: dict[str, str], up: Node | None):
         self.tag, self.attrs, self.up = tag, attrs, up
+        self.number = 1  # of a list item
         self.kids: list[Node | str] = []
 
     def walk(self) -> Iterator[Node]:
@@ -153,6 +154,8 @@ def _md(node: Node | str, depth: int = 0) -> str:
         return "\n\n---\n\n"
     if depth > 200:  # deeper nesting than any real page: text only
         return _inline(node.text())
+    for n, item in enumerate((k for k in node.kids if isinstance(k, Node) and k.tag == "li"), 1):
+        item.number = n
     inner = "".join(_md(k, depth + 1) for k in node.kids)
     if re.fullmatch("h[1-6]", tag):
         return f"\n\n{'#' * int(tag[1])} {_inline(inner).strip()}\n\n" if inner.strip() else ""
@@ -167,9 +170,7 @@ def _md(node: Node | str, depth: int = 0) -> str:
     if tag == "img":
         return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
     if tag == "li":
-        up = node.up.tag if node.up else ""
-        n = 1 + sum(isinstance(k, Node) and k.tag == "li" for k in node.up.kids[: node.up.kids.index(node)]) if node.up else 1
-        return f"\n{f'{n}.' if up == 'ol' else '-'} {inner.strip()}"
+        return f"\n{f'{node.number}.' if node.up and node.up.tag == 'ol' else '-'} {inner.strip()}"
     if tag == "blockquote":
         return "\n\n" + "\n".join(f"> {x}" for x in inner.strip().split("\n")) + "\n\n"
     if tag in ("td", "th"):
@@ -208,30 +209,51 @@ def select(root: Node, selector: str) -> Node:
     return next((n for n in root.walk() if fits(n)), body)
 
 
+def document(url: str, raw: bytes, selector: str | None = None) -> tuple:
+    """The columns of DOCUMENT for one page; what goes wrong stands in the last one, and the page has no content then."""
+    digest = "sha256:" + hashlib.sha256(raw).hexdigest()
+    try:
+        root = parse(raw.decode("utf-8", "replace"))
+        head = (title(root), description(root))
+        tail = (headings(root), links(root, url or ""))
+        md = markdown(select(root, selector) if selector else main_content(root))
+    except Exception as e:  # one bad page is a row with an error, not a failed job
+        return (url, "", "", "", [], [], 0, digest, f"{type(e).__name__}: {e}"[:500])
+    return (url, *head, md, *tail, len(md.split()), digest, None)
+
+
+def _bytes(body: object) -> bytes:
+    return bytes(body) if isinstance(body, bytes | bytearray) else (body or "").encode("utf-8", "surrogatepass")
+
+
 def extract(fetched: DataFrame, selector: str | None = None) -> DataFrame:
     """fetched: url, body (string or binary) -> documents. With a selector its first match is the content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for url, body in zip(b["url"], b["body"], strict=True):
-                raw = body if isinstance(body, bytes | bytearray) else (body or "").encode("utf-8", "surrogatepass")
-                root = parse(bytes(raw).decode("utf-8", "replace"))
-                head = (title(root), description(root))
-                tail = (headings(root), links(root, url or ""))
-                md = markdown(select(root, selector) if selector else main_content(root))
-                rows.append((url, *head, md, *tail, len(md.split()), "sha256:" + hashlib.sha256(raw).hexdigest()))
-            yield pd.DataFrame(rows, columns=["url", "title", "description", "markdown", "headings", "links", "word_count", "content_hash"])
+            rows = [document(url, _bytes(body), selector) for url, body in zip(b["url"], b["body"], strict=True)]
+            yield pd.DataFrame(rows, columns=["url", "title", "description", "markdown", "headings", "links", "word_count", "content_hash", "error"])
 
     return fetched.select("url", "body").mapInPandas(run, DOCUMENT)
 
 
+def whole(documents: DataFrame) -> DataFrame:
+    """Documents that were extracted without an error."""
+    return documents.filter("error is null").drop("error")
+
+
 def link_edges(fetched: DataFrame) -> DataFrame:
-    """fetched: url, body -> src, dst of every followed reference, repeats included."""
+    """fetched: url, body -> src, dst of every followed reference, repeats included; none of a page that can't be parsed."""
+
+    def followed(url: str, body: object) -> list[str]:
+        try:
+            return follow_links(parse(_bytes(body).decode("utf-8", "replace")), url)
+        except Exception:
+            return []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(u, v) for u, h in zip(b["url"], b["body"], strict=True) for v in follow_links(parse(h if isinstance(h, str) else bytes(h or b"").decode("utf-8", "replace")), u or "")]
+            rows = [(u, v) for u, h in zip(b["url"], b["body"], strict=True) for v in followed(u or "", h)]
             yield pd.DataFrame(rows, columns=["src", "dst"], dtype=object)
 
     return fetched.select("url", "body").mapInPandas(run, "src string, dst string")

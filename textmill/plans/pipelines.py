@@ -35,7 +35,7 @@ def documents(spark: SparkSession, cfg: Config, pages: DataFrame, sitemap: DataF
         start = start.unionByName(sitemap.withColumn("norm_url", normalize_url(F.col("url"))))
     reached = frontier.traverse(start, extract.link_edges(pages), scope_of(cfg)).filter(robots.allows(F.col("url")))
     bodies = pages.select(normalize_url(F.col("url")).alias("norm_url"), "body").dropDuplicates(["norm_url"])
-    return extract.extract(fetched_pages(reached.join(bodies, "norm_url").drop("content_hash")))
+    return extract.whole(extract.extract(fetched_pages(reached.join(bodies, "norm_url").drop("content_hash"))))
 
 
 def crawl(spark: SparkSession, cfg: Config, pages: DataFrame, **more: object) -> DataFrame:

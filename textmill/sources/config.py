@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, fields, replace
 from urllib.parse import urlsplit
 
@@ -57,32 +58,36 @@ class Config:
         return self
 
 
-#: Where the YAML form has each setting.
+#: Where the YAML form has each setting; second names are accepted as well.
 SECTIONS = {
-    "source": {"url": "seed_url", "type": None},
-    "crawl": {"max_depth": "max_depth", "rate_limit": "rate_limit", "include": "includes", "exclude": "excludes", "workers": "workers", "user_agent": "user_agent", "timeout": "timeout_s", "use_browser": "use_browser"},
-    "chunking": {"strategy": "chunk_strategy", "max_tokens": "max_tokens"},
-    "embedding": {"provider": "embedder", "model": "embedding_model", "batch_size": "embedding_batch"},
-    "output": {"dir": "output_dir", "format": None},
-}
+    "source": {"url": "seed_url"},
+    "crawl": {
+        "max_depth": "max_depth", "workers": "workers", "rate_limit": "rate_limit", "includes": "includes", "excludes": "excludes", "use_browser": "use_browser",
+        "user_agent": "user_agent", "timeout_sec": "timeout_s", "resume": "resume", "include": "includes", "exclude": "excludes", "timeout": "timeout_s",
+    },
+    "chunking": {"strategy": "chunk_strategy", "max_tokens": "max_tokens", "overlap_tokens": "overlap_tokens"},
+    "embedding": {"embedder": "embedder", "model": "embedding_model", "batch": "embedding_batch", "provider": "embedder", "batch_size": "embedding_batch"},
+    "output": {"dir": "output_dir", "verbose": "verbose"},
+}
 
 
 def load_yaml(text: str, given: Config = Config(), **flags: object) -> Config:
-    """Settings of a YAML text over `given`; zero values change nothing, `flags` win, unknown keys are errors."""
+    """Settings of a YAML text over `given`; zero values change nothing, `flags` win, unknown keys are passed over with a warning."""
     import yaml
 
     found: dict[str, object] = {}
     for section, keys in (yaml.safe_load(text) or {}).items():
-        if section not in SECTIONS:
-            raise ValueError(f"unknown section: {section}")
+        if section not in SECTIONS or not isinstance(keys, dict | None):
+            warnings.warn(f"unknown section: {section}", stacklevel=2)
+            continue
         for key, value in (keys or {}).items():
-            if key not in SECTIONS[section]:
-                raise ValueError(f"unknown key: {section}.{key}")
-            name = SECTIONS[section][key]
-            if name and value:
-                found[name] = tuple(value) if isinstance(value, list) else _seconds(value) if name == "timeout_s" else value
+            name = SECTIONS[section].get(key)
+            if name is None:
+                warnings.warn(f"unknown key: {section}.{key}", stacklevel=2)
+            elif value:
+                found[name] = tuple(map(str, value)) if isinstance(value, list) else _seconds(value) if name == "timeout_s" else value
     known = {f.name for f in fields(Config)}
-    return replace(given, **found, **{k: v for k, v in flags.items() if k in known})
+    return replace(given, **found | {k: v for k, v in flags.items() if k in known})
 
 
 def _seconds(value: object) -> float:
@@ -94,18 +99,27 @@ def _seconds(value: object) -> float:
 
 
 def template(url: str) -> str:
-    """A YAML text to start from."""
+    """A YAML text to start from: every key with its default, those that are rarely set as comments."""
+    d = Config()
     return f"""source:
   url: {url}
 crawl:
   max_depth: 3
-  exclude:
+  workers: {d.workers}
+  # rate_limit: 2.0        # requests a second; without it, what the site's headers or robots.txt say
+  # includes: ["/docs/**"]
+  excludes:
     - "**/changelog/**"
+  # user_agent: {d.user_agent}
+  # timeout_sec: {d.timeout_s:g}
+  # resume: true
 chunking:
-  strategy: heading
-  max_tokens: 512
+  strategy: {d.chunk_strategy}
+  max_tokens: {d.max_tokens}
 embedding:
-  provider: auto
+  embedder: {d.embedder}
+  # model: {d.embedding_model}
+  # batch: {d.embedding_batch}
 output:
   dir: ./{host_to_dir(urlsplit(url).hostname or "docs")}
 """

@@ -34,6 +34,7 @@ class Service:
     post: Post = field(default=post_json, compare=False)
 
     def request(self, texts: list[str]) -> tuple[str, dict]:
+        """The paths and fields of each provider's protocol."""
         if self.name == "ollama":
             return f"{self.url}/api/embed", {"model": self.model, "input": texts}
         if self.name == "openai":

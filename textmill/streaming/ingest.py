@@ -25,7 +25,7 @@ def ingest_stream(pages: DataFrame, store: Store, checkpoint: str, strategy: str
     def sink(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        docs = extract.extract(batch.select("url", "body"))
+        docs = extract.whole(extract.extract(batch.select("url", "body")))
         store.index(chunking.chunk(docs, strategy, max_tokens, overlap_tokens))
 
     return pages.dropDuplicates(["norm_url"]).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
