@@ -211,47 +211,70 @@ SORT_BYTES = 8_000_000
 
 
 def _sorted_ranges(rows: list[tuple]) -> Iterator[tuple]:
-    """Byte ranges of blocks whose windows are repeated among the rows."""
-    text = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
-    begin = np.cumsum([0] + [len(r[6]) for r in rows[:-1]])
-    m = np.array([r[4] for r in rows])
+    """Byte ranges of blocks whose windows are repeated among the rows: blocks of equal bytes as a whole, the rest by the sort of one of each."""
+    alike: dict[bytes, list[tuple]] = {}
+    for r in rows:
+        alike.setdefault(r[6], []).append(r)
+    text = np.frombuffer(b"".join(alike), np.uint8)
+    begin = np.cumsum([0] + [len(x) for x in alike])[:-1]
+    m = np.array([same[0][4] for same in alike.values()])
     at = np.repeat(begin, m) + np.concatenate([np.arange(x) for x in m])
     hit = repeated(text, at, DEPTH)
     edge = np.cumsum(np.append(0, m))
-    for k, r in enumerate(rows):
-        own = hit[edge[k] : edge[k + 1]]
+    for k, same in enumerate(alike.values()):
+        own = hit[edge[k] : edge[k + 1]] | (len(same) > 1)
         if own.any():
             e = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-            for x, y in zip(e[::2], e[1::2], strict=True):
-                yield r[1], r[2], r[3] + int(x), r[3] + int(y) - 1 + DEPTH, r[5]
+            for r in same:
+                for x, y in zip(e[::2], e[1::2], strict=True):
+                    yield r[1], r[2], r[3] + int(x), r[3] + int(y) - 1 + DEPTH, r[5]
+
+
+def _equal_ranges(rows: list[tuple]) -> Iterator[tuple]:
+    """Of blocks of equal bytes every window is repeated."""
+    for r in rows:
+        yield r[1], r[2], r[3], r[3] + r[4] - 1 + DEPTH, r[5]
 
 
 def sort_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks -> ranges. A bucket is gathered in one task, in order; whole buckets are sorted SORT_BYTES at a time."""
+    """Blocks -> ranges. A bucket is gathered in one task, in order; whole buckets are sorted SORT_BYTES at a time.
+
+    A bucket whose blocks are all equal, byte by byte, needs no sort.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            found = list(_sorted_ranges(rows))
+        def out(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), _OF))], ["k1", "k2", "start", "stop", "of"])
 
         held: list[tuple] = []
         group: list[tuple] = []
+        done: list[tuple] = []
         size = 0
+
+        def close() -> None:
+            nonlocal size
+            if len(group) > 1:
+                if all(r[6] == group[0][6] for r in group[1:]):
+                    done.extend(_equal_ranges(group))
+                else:
+                    held.extend(group)
+                    size += sum(len(r[6]) for r in group)
+            group.clear()
+
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and row[0] != group[0][0]:
-                    if len(group) > 1:
-                        held += group
-                        size += sum(len(r[6]) for r in group)
-                    group = []
+                    close()
                     if size > SORT_BYTES:
-                        yield out(held)
-                        held, size = [], 0
+                        done.extend(_sorted_ranges(held))
+                        held.clear()
+                        size = 0
+                    if len(done) > 4096:
+                        yield out(done)
+                        done.clear()
                 group.append(row)
-        if len(group) > 1:
-            held += group
-        if held:
-            yield out(held)
+        close()
+        yield out([*done, *(_sorted_ranges(held) if held else ())])
 
     return blocks.select(*NAMES).repartition("core").sortWithinPartitions("core").mapInArrow(run, RANGES)
 
