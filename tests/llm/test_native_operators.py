@@ -188,6 +188,47 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def found(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    return {r["doc_id"]: (r["license"], r["how"]) for r in licenses.scan(df).collect()}
+
+
 def test_every_template_is_its_own_best_match(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(licenses.TEMPLATES.values())], "doc_id long, text string")
-    assert sorted(r["license"] for r in licenses.matches(df).collect()) == sorted(licenses.TEMPLATES)
+    got = found(spark, [(i, t, f"/r{i}/LICENSE") for i, (_, t) in enumerate(licenses.templates())])
+    assert got == {i: (name, "own") for i, (name, _) in enumerate(licenses.templates())}
+
+
+def test_license_files_as_they_are_found(spark):
+    """With holders filled in, lines wrapped otherwise, a title added, or comment marks before each line."""
+    full = {n: t for n, t in licenses.templates() if len(t) > 700 and "\n" in t}
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "ISC"} <= set(full)
+    rows, want = [], {}
+    for name, text in sorted(full.items()):
+        filled = re.sub("<[^>]*>", "2019 Some Harbour Authority and Others", text)
+        for form in (filled, " ".join(filled.split()), "The software of the harbour\n\n" + filled, "\n".join(f" * {x}" for x in filled.split("\n"))):
+            want[len(rows)] = (name, "own")
+            rows.append((len(rows), form, f"/r{len(rows)}/LICENSE.txt"))
+    assert found(spark, rows) == want
+
+
+def test_headers_titles_and_spdx_lines(spark):
+    header = "".join(f"# {x.strip()}\n" for x in licenses.SHORT["Apache-2.0"][3].split("\n"))
+    mit = next(t for n, t in licenses.templates() if n == "MIT" and len(t) > 700)
+    cases = {
+        f"#!/usr/bin/env python\n\n# Copyright 2021 Some One\n{header}\nimport os\nprint(os)\n": "Apache-2.0",
+        "// SPDX-License-Identifier: MIT\nint main() { return 0; }\n": "MIT",
+        "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;\n": "GPL-2.0",
+        "# SPDX-License-Identifier: BSD-3-Clause\nx = 1\n": "BSD-3-Clause",
+        "MIT License\n\nsome text": "MIT",
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nmore": "GPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\n\nx": "LGPL-3.0",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\nx": "BSD-3-Clause",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "def f():\n    pass\n\n" + mit.replace("<year> <copyright holders>", "2020 A"): "MIT",
+        "You need a license to drive a car on this road.": None,
+        "The copyright of the song was sold, with permission of the heirs, to a public broadcaster.": None,
+        "Permission slips must be returned by Friday.": None,
+        "x" * 100_000 + " license " + "y" * 100_000: None,
+    }
+    got = found(spark, [(i, t, f"/r{i}/src.txt") for i, t in enumerate(cases)])
+    assert {t: got[i][0] for i, t in enumerate(cases)} == cases

@@ -1,16 +1,20 @@
 """Operator 10 [native]: licence scan by sparse TF-IDF cosine to templates, then inheritance along directories.
 
-Header lines (any line of a text with a licence keyword, wherever it stands) and
-the lines of licence files become sparse TF-IDF vectors; each is held against
-the templates by joining its terms with the templates' terms, a fixed table of
-a few hundred rows at most. A file takes its best line of at least THRESHOLD.
+Three kinds of text units become sparse TF-IDF vectors: the whole text of a
+licence file (by its name); blocks between blank lines that hold a licence
+keyword, such as the header of a source file; and single lines with a keyword,
+wherever they stand. Each is held against the templates (full texts in the
+folder `templates`, notices, titles and SPDX lines) by joining its terms with
+the templates' terms, a fixed table of some thousand rows. A file takes its best
+unit of at least THRESHOLD: the whole text before blocks before lines, then the
+highest score.
 
 A file without one inherits from the nearest directory above it that has a
 licence file: distinct directories are joined with their ancestors' paths, the
 longest path wins, and files are joined to the answer of their directory. All of
 it is DataFrame operations; counts are partial before any exchange.
 
-Defined results: a null or empty text has no lines, so it can only inherit; ties
+Defined results: a null or empty text has no units, so it can only inherit; ties
 between templates go to the lesser name, ties between licence files of one
 directory to the higher score, then the lesser id; a null path inherits nothing;
 repeated rows give repeated results; extra columns are unused.
@@ -21,75 +25,142 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Short forms of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+from .common import row_digest
+
+#: Short forms, titles and notices of common licences.
+SHORT = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Redistribution and use in source and binary forms are permitted under the BSD 2-Clause License."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
+        "BSD 3-Clause License",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC0-1.0": ("CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal License"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the
+        Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    ),
+    "ISC": ("ISC License", "Licensed under the ISC License."),
+    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ),
+    "MIT": ("Released under the MIT License.", "MIT License", "The MIT License (MIT)", "Licensed under the MIT License."),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "Mozilla Public License Version 2.0",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,
+        You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-KEYWORD = "(?i)licen[sc]e|copyright|redistribution|mozilla public"
+KEYWORD = "(?i)licen[sc]e|copyright|redistribution|mozilla public|public domain|permission"
+LICENSE_FILE = "(?i)/(un)?(licen[sc]e|copying)[^/]*$"
+#: Where one block ends and the next begins.
+BLANK = r"\n[ \t\r]*\n"
+TERM = "[a-z0-9.]*[a-z0-9]"
 THRESHOLD = 0.7
-_WORD = re.compile("[a-z0-9.]*[a-z0-9]")
+WHOLE, BLOCK, LINE = 0, 1, 2
+
+
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(licence, text): full texts from the folder beside this file, short forms, and an SPDX line for each licence."""
+    full = [(f.name.removesuffix(".txt"), f.read_text()) for f in files(__package__).joinpath("templates").iterdir() if f.name.endswith(".txt")]
+    short = [(name, text) for name, texts in SHORT.items() for text in texts]
+    spdx = [(name, f"SPDX-License-Identifier: {form}") for name in sorted(SHORT) for form in ((name, f"{name}-only", f"{name}-or-later") if "GPL" in name else (name,))]
+    return tuple(sorted(full + short + spdx))
 
 
 def _terms(text: str) -> Counter[str]:
-    return Counter(_WORD.findall(text.lower()))
+    return Counter(re.findall(TERM, text.lower()))
 
 
-def template_table() -> tuple[list[tuple[str, str, float]], dict[str, float], float]:
-    """(template, term, weight of unit vectors), idf by term, and the idf of terms that no template has."""
-    n = len(TEMPLATES)
-    df = Counter(t for x in TEMPLATES.values() for t in _terms(x))
+@cache
+def template_table() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+    """(template, licence, term, weight of unit vectors), idf by term, and the idf of terms that no template has."""
+    n = len(templates())
+    df = Counter(t for _, x in templates() for t in _terms(x))
     idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
     rows = []
-    for name, text in TEMPLATES.items():
-        raw = {t: k * idf[t] for t, k in _terms(text).items()}
+    for k, (name, text) in enumerate(templates()):
+        raw = {t: c * idf[t] for t, c in _terms(text).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        rows += [(name, t, x / norm) for t, x in sorted(raw.items())]
+        rows += [(k, name, t, x / norm) for t, x in sorted(raw.items())]
     return rows, idf, math.log(1 + n) + 1
 
 
-def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _units(docs: DataFrame, doc_id: str, text: str, path: str | None, license_file: str) -> DataFrame:
+    """_k, kind, n, t: the texts that are held against the templates."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    with_keyword = lambda parts: F.filter(parts, lambda x: x.rlike(KEYWORD))
+    tagged = lambda parts, kind: F.transform(parts, lambda x, n: F.struct(F.lit(kind).alias("kind"), n.alias("n"), x.alias("t")))
+    is_file = F.coalesce(F.col(path).rlike(license_file), F.lit(False)) if path else F.lit(False)
+    none = F.array().cast("array<struct<kind:int,n:int,t:string>>")
+    every = F.concat(
+        F.when(is_file & (t != ""), tagged(F.array(t), WHOLE)).otherwise(none),
+        # most texts hold no keyword, and are not split
+        F.when(t.rlike(KEYWORD), F.concat(tagged(with_keyword(F.split(t, BLANK)), BLOCK), tagged(with_keyword(F.split(t, "\n")), LINE))).otherwise(none),
+    )
+    rows = docs.select(row_digest(F.col(doc_id), F.col(text)).alias("_k"), F.explode(every).alias("u"))
+    return rows.select("_k", "u.kind", "u.n", "u.t").distinct()
+
+
+def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, license_file: str = LICENSE_FILE) -> DataFrame:
     """Best match of each distinct (id, text): _k, license, score."""
     spark: SparkSession = docs.sparkSession
     rows, idf, rare = template_table()
-    templates = spark.createDataFrame(rows, "license string, term string, w double")
+    known = spark.createDataFrame(rows, "template int, license string, term string, w double")
     weights = spark.createDataFrame([(t, x) for t, x in sorted(idf.items())], "term string, idf double")
-    lines = docs.select(_key(doc_id, text).alias("_k"), F.posexplode(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(KEYWORD))).alias("line", "t"))
-    terms = lines.distinct().select("_k", "line", F.explode(F.regexp_extract_all(F.lower("t"), F.lit("[a-z0-9.]*[a-z0-9]"), F.lit(0))).alias("term"))
-    counted = terms.groupBy("_k", "line", "term").count().join(F.broadcast(weights), "term", "left")
+    unit = ["_k", "kind", "n"]
+    terms = _units(docs, doc_id, text, path, license_file).select(*unit, F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("term"))
+    counted = terms.groupBy(*unit, "term").count().join(F.broadcast(weights), "term", "left")
     counted = counted.withColumn("x", F.col("count") * F.coalesce("idf", F.lit(rare)))
-    norms = counted.groupBy("_k", "line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(F.broadcast(templates), "term").groupBy("_k", "line", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, ["_k", "line"]).select("_k", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= THRESHOLD)
-    best = scored.groupBy("_k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"))
+    norms = counted.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = counted.join(F.broadcast(known), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, unit).select("_k", "kind", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= THRESHOLD)
+    best = scored.groupBy("_k").agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "license")).alias("m"))
     return best.select("_k", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
 
-def _key(doc_id: str, text: str) -> Column:
-    t = F.coalesce(F.col(text), F.lit(""))
-    known = F.coalesce(F.col(doc_id).cast("string"), F.lit("\0"))
-    return F.struct(F.xxhash64(known, t).alias("a"), F.xxhash64(F.lit(7), t, known).alias("b"))
-
-
 def directory(path: Column) -> Column:
     """The path up to its last slash; "" at the root."""
     return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", license_file: str = "(?i)/(licen[sc]e|copying)[^/]*$") -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "path", license_file: str = LICENSE_FILE) -> DataFrame:
     """Per row: id, path, license, score, how (own, inherited or none) and from_path of the directory that it comes from."""
-    files = docs.select(doc_id, path, _key(doc_id, text).alias("_k"))
-    own = files.join(matches(docs, doc_id, text), "_k", "left").withColumn("dir", directory(F.col(path)))
+    listed = docs.select(doc_id, path, row_digest(F.col(doc_id), F.col(text)).alias("_k"))
+    own = listed.join(matches(docs, doc_id, text, path, license_file), "_k", "left").withColumn("dir", directory(F.col(path)))
     rank = F.struct((-F.col("score")).alias("s"), F.col(doc_id).alias("i"), F.col("license").alias("l"))
     given = own.filter(F.col("license").isNotNull() & F.col(path).rlike(license_file)).groupBy("dir").agg(F.min(rank).alias("m"))
     given = given.select(F.col("dir").alias("above"), F.col("m.l").alias("dir_license"), (-F.col("m.s")).alias("dir_score"))

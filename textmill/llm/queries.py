@@ -98,7 +98,7 @@ QUERIES = {
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
 _ROWS, _IDF, _RARE = licenses.template_table()
-_TEMPLATES = ", ".join(f"('{name}', '{t}', {x!r})" for name, t, x in _ROWS)
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{t}', {x!r})" for k, name, t, x in _ROWS)
 _WEIGHTS = ", ".join(f"('{t}', {x!r})" for t, x in sorted(_IDF.items()))
 
 ORACLES = {
@@ -142,18 +142,22 @@ SELECT page_id, record_id, canonical_url, response_id, response_ts, status,
        CASE WHEN status = 'resolved' THEN 'cache-control=max-age=60;content-type=text/html;date=' || ts || ';etag=' || rtag || ';server=a' END AS headers
 FROM s""",
     "op10_license_scan": rf"""
-WITH tp(license, term, w) AS (VALUES {_TEMPLATES}), wt(term, idf) AS (VALUES {_WEIGHTS}),
+WITH tp(template, license, term, w) AS (VALUES {_TEMPLATES}), wt(term, idf) AS (VALUES {_WEIGHTS}),
 d AS (SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 1000 = 0 THEN '/' || source || '/LICENSE-' || doc_id
         WHEN doc_id % 100 = 50 THEN '/' || source || '/a' || ((doc_id // 100) % 10) || '/LICENSE-' || doc_id
         WHEN doc_id % 10 = 0 THEN '/' || source || '/a' || ((doc_id // 100) % 10) || '/b' || ((doc_id // 10) % 10) || '/LICENSE-' || doc_id
         ELSE '/' || source || '/a' || ((doc_id // 100) % 10) || '/b' || ((doc_id // 10) % 10) || '/f' || doc_id END AS path FROM documents),
-l AS (SELECT doc_id, u.i AS line, u.s AS t FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'i': i, 's': s}})) AS u FROM d)
-      WHERE regexp_matches(u.s, '{licenses.KEYWORD}')),
-x AS (SELECT doc_id, line, z.term, count(*) * coalesce(any_value(idf), {_RARE!r}) AS x
-      FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(t), '[a-z0-9.]*[a-z0-9]')) AS term FROM l) z LEFT JOIN wt ON wt.term = z.term GROUP BY ALL),
-n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
-s AS (SELECT x.doc_id, tp.license, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tp ON tp.term = x.term JOIN n ON n.doc_id = x.doc_id AND n.line = x.line GROUP BY x.doc_id, x.line, tp.license),
-b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM s WHERE score >= {licenses.THRESHOLD}) WHERE r = 1),
+l AS (SELECT doc_id, 2 AS kind, u.i AS n, u.s AS t FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda s, i: {{'i': i, 's': s}})) AS u FROM d)
+      WHERE regexp_matches(u.s, '{licenses.KEYWORD}') UNION ALL
+      SELECT doc_id, 1, u.i, u.s FROM (SELECT doc_id, unnest(list_transform(string_split_regex(text, '{licenses.BLANK}'), lambda s, i: {{'i': i, 's': s}})) AS u FROM d)
+      WHERE regexp_matches(u.s, '{licenses.KEYWORD}') UNION ALL
+      SELECT doc_id, 0, 0, text FROM d WHERE path LIKE '%/LICENSE-%' AND text <> ''),
+x AS (SELECT doc_id, kind, n, z.term, count(*) * coalesce(any_value(idf), {_RARE!r}) AS x
+      FROM (SELECT doc_id, kind, n, unnest(regexp_extract_all(lower(t), '{licenses.TERM}')) AS term FROM l) z LEFT JOIN wt ON wt.term = z.term GROUP BY ALL),
+n AS (SELECT doc_id, kind, n, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+s AS (SELECT x.doc_id, x.kind, tp.license, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tp ON tp.term = x.term
+      JOIN n ON n.doc_id = x.doc_id AND n.kind = x.kind AND n.n = x.n GROUP BY x.doc_id, x.kind, x.n, tp.template, tp.license),
+b AS (SELECT doc_id, license, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY kind, score DESC, license) AS r FROM s WHERE score >= {licenses.THRESHOLD}) WHERE r = 1),
 o AS (SELECT d.doc_id, path, license, score, regexp_replace(path, '/[^/]*$', '') AS dir FROM d LEFT JOIN b ON b.doc_id = d.doc_id),
 g AS (SELECT dir, license, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, doc_id) AS r FROM o WHERE license IS NOT NULL AND path LIKE '%/LICENSE-%') WHERE r = 1),
 near AS (SELECT dirs.dir, arg_max(g.dir, length(g.dir)) AS above, arg_max(g.license, length(g.dir)) AS license, arg_max(g.score, length(g.dir)) AS score
