@@ -98,8 +98,8 @@ QUERIES = {
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
 _ROWS, _IDF, _RARE = licenses.template_table()
-_TEMPLATES = ", ".join(f"({k}, '{name}', '{t}', {x!r})" for k, name, t, x in _ROWS)
-_WEIGHTS = ", ".join(f"('{t}', {x!r})" for t, x in sorted(_IDF.items()))
+_TEMPLATES = ", ".join(f"({k}, '{name}', '{t}', {x:.17e})" for k, name, t, x in _ROWS)
+_WEIGHTS = ", ".join(f"('{t}', {x:.17e})" for t, x in sorted(_IDF.items()))
 
 ORACLES = {
     "op5_quality_rules": rf"""
@@ -152,7 +152,7 @@ l AS (SELECT doc_id, 2 AS kind, u.i AS n, u.s AS t FROM (SELECT doc_id, unnest(l
       SELECT doc_id, 1, u.i, u.s FROM (SELECT doc_id, unnest(list_transform(string_split_regex(text, '{licenses.BLANK}'), lambda s, i: {{'i': i, 's': s}})) AS u FROM d)
       WHERE regexp_matches(u.s, '{licenses.KEYWORD}') UNION ALL
       SELECT doc_id, 0, 0, text FROM d WHERE path LIKE '%/LICENSE-%' AND text <> ''),
-x AS (SELECT doc_id, kind, n, z.term, count(*) * coalesce(any_value(idf), {_RARE!r}) AS x
+x AS (SELECT doc_id, kind, n, z.term, count(*) * coalesce(any_value(idf), {_RARE:.17e}) AS x
       FROM (SELECT doc_id, kind, n, unnest(regexp_extract_all(lower(t), '{licenses.TERM}')) AS term FROM l) z LEFT JOIN wt ON wt.term = z.term GROUP BY ALL),
 n AS (SELECT doc_id, kind, n, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 s AS (SELECT x.doc_id, x.kind, tp.license, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN tp ON tp.term = x.term
