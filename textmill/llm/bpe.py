@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept in a worker's cache, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS, CACHE_BORDERS = 200_000, 48, 500_000
 
 #: Letters below U+0250, and what neither they nor ASCII (but for U+001C-1F) cover. A text without the latter is cut by
 #: a plainer pattern with the standard library, which cuts it as the full pattern would, in half the time.
@@ -109,7 +109,7 @@ class Vocabulary:
                 free, a = min(free, a), left[1]
             else:
                 free, b = min(free, b + 1), right[0]
-        if len(self.known) > 1_000_000:
+        if len(self.known) > CACHE_BORDERS:
             self.known.clear()
         self.known[p << 32 | t] = ok
         return ok
@@ -174,6 +174,11 @@ class Codec:
         self._quick = QUICK.get(pattern)
         self._seen: dict[str, tuple[int, str, bytes]] = {}
 
+    def forget(self) -> None:
+        """Empties the caches; a worker that waits for its next task holds the vocabulary only."""
+        self._seen.clear()
+        self.v.known.clear()
+
     def split(self, text: str) -> list[str]:
         if self._quick and not ODD.search(text):
             return self._quick(text)
@@ -290,6 +295,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
         for b in batches:
             ids = pa.array((codec.encode(x) for x in b.column(text).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, to])
+        codec.forget()
 
     return df.mapInArrow(run, df.drop(to).withColumn(to, F.lit(None).cast("array<int>")).schema)
 
@@ -317,6 +323,7 @@ def encode_digests(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id
                 [b.column(0), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))],
                 [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        codec.forget()
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import labelled_fold
 
 #: Words that a worker keeps with their hashes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _cut = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
 _seen: dict[str, int] = {}
 

@@ -49,7 +49,7 @@ M = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 BLOCK = 128
 #: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _U = np.uint64
 _seen: dict[str, int] = {}
@@ -115,6 +115,7 @@ def _signed(keyed: DataFrame) -> DataFrame:
                     [b.column(0).take(take), b.column(1).take(take), pa.array(node.view(np.int64)), pa.array(more.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary()), bands],
                     ["k1", "k2", "node", "more", "sketch", "bands"],
                 )
+        _seen.clear()  # a worker that waits holds no words
 
     return keyed.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, node long, more long, sketch binary, bands array<long>")
 
