@@ -59,6 +59,19 @@ def test_rules_are_data(spark):
     assert {r["doc_id"]: r["kept"] for r in quality_rules.apply_rules(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_languages_and_scripts(spark):
+    russian = "и это было давно в городе на реке где жили люди " * 6
+    texts = [" ".join(f"{w}{i}" if len(w) > 3 else w for i, w in enumerate(russian.split())), " ".join("桜の花が咲く季節になると人々は公園へ出かける" + chr(0x4E00 + i) for i in range(45)), " ".join("x" * 20 + str(i) for i in range(45))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.apply_rules(df).collect()} == {0: (False, True), 1: (False, True), 2: (False, False)}
+
+
+def test_columns_named_like_inner_ones(spark):
+    df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4)], "doc_id long, text string, t int, words int, _t int, LINES int")
+    got = quality_rules.apply_rules(df)
+    assert got.columns[:6] == df.columns and tuple(got.first())[:6] == (1, "a b", 1, 2, 3, 4)
+
+
 # --- line dedup
 
 

@@ -114,12 +114,13 @@ m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transf
              length(regexp_replace(t, '[^!]+', '', 'g'))::BIGINT AS n_exclaims,
              len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(cover.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop
+             len(list_filter(ws, lambda x: lower(x) IN ({_STOP})))::BIGINT AS n_stop,
+             length(regexp_replace(t, '[^\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}]+', '', 'g')) AS n_unspaced
       FROM w LEFT JOIN cover ON w.doc_id = cover.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, word_chars > 14.0 * n_words AND n_unspaced >= 0.2 * word_chars AS unspaced FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words AND n_symbols <= 0.3 * n_words
-       AND n_exclaims <= 0.5 * n_words AND n_dup_lines <= 0.5 * n_lines AND (n_words < 40 OR n_stop >= 0.01 * n_words) AS kept
+       NOT base_failed AND (unspaced OR word_chars >= 2.0 * n_words AND word_chars <= 14.0 * n_words) AND n_symbols <= 0.3 * n_words
+       AND n_exclaims <= 0.5 * n_words AND n_dup_lines <= 0.5 * n_lines AND (unspaced OR n_words < 40 OR n_stop >= 0.01 * n_words) AS kept
 FROM b""",
     "op7_revisits": r"""
 WITH p AS (SELECT page_id, trim(url) AS url, '"' || left(md5(coalesce(html, '')), 12) || '"' AS tag FROM pages),
