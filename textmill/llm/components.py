@@ -12,13 +12,13 @@ def _large(edges: DataFrame) -> DataFrame:
     """Hooks the larger neighbours of every vertex to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = least.select("a", F.least("a", "m").alias("m")).hint("rebalance")  # apart from the sums: a hot vertex can be split in the join
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Hooks every vertex and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).hint("rebalance")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
