@@ -167,12 +167,12 @@ def plain_resolve(rows):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("buckets", [1, 4, 64])
-def test_as_of(spark, buckets):
-    rng = random.Random(buckets)
+@pytest.mark.parametrize("parts", [1, 4, 64, None])
+def test_as_of(spark, parts):
+    rng = random.Random(parts)
     tags = [None, '"a"', 'W/"a"', '"b"']
     rows = [(i, rng.choice(["h/a", "h/a", "h/a", "h/b", None]), rng.choice([None, *range(60)]), rng.choice(["response", "revisit"]), rng.choice(tags), rng.choice([None, "m", "n"]), rng.choice([None, "d", "e"]), {"etag": "x"}, "old") for i in range(300)]
-    got = revisits.resolve(spark.createDataFrame(rows, RECORD), buckets).collect()
+    got = revisits.resolve(spark.createDataFrame(rows, RECORD), parts).collect()
     assert sorted(repr((r["record_id"], r["response_id"], r["status"])) for r in got) == plain_resolve(rows)
 
 
@@ -183,6 +183,19 @@ def test_merged_headers(spark):
     assert revisits.resolve(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_one_url_at_one_time(spark):
+    """All records of one URL, most of them at one time: parts split them by id."""
+    rows = [(i, "h/a", 5 if i < 280 else 6, "response" if i % 9 == 0 else "revisit", f'"{i}"', None, "d", None, "") for i in range(300)]
+    got = revisits.resolve(spark.createDataFrame(rows, RECORD), 16).collect()
+    assert {r["record_id"]: r["response_id"] for r in got} == {i: i // 9 * 9 for i in range(300) if i % 9}
+
+
+def test_revisit_columns_of_any_name(spark):
+    rows = [(1, "h", 1, "response", '"a"', None, None, None, "", 1, 2, 3), (2, "h", 2, "revisit", '"a"', None, None, None, "", 4, 5, 6)]
+    got = revisits.resolve(spark.createDataFrame(rows, RECORD + ", _b int, u int, p int"))
+    assert [(r["_b"], r["u"], r["p"], r["response_id"], r["status"]) for r in got.collect()] == [(4, 5, 6, 1, "resolved")]
+
+
 # --- licences
 
 

@@ -1,11 +1,11 @@
 """Operator 7: resolves WARC revisit records to the latest earlier full response of the same canonical URL.
 
-An as-of join without a range join: records of both kinds are laid end to end by
-(canonical URL, time, id), and each revisit takes the last response before it.
-So that one URL with a third of all records isn't one task, time is cut into
-BUCKETS intervals of about equal record counts. A window within (URL, interval)
-finds responses in the same interval; the last response of each (URL, interval),
-a few rows for each URL, is carried forward to the intervals after it.
+An as-of join without a range join: records of both kinds are dealt out by
+ranges of (canonical URL, time, id), so that one URL with a third of all records
+fills many parts, also where times are equal; how many parts there are follows
+from the session's number of shuffle partitions, as for any exchange. A window
+within (URL, part) finds responses of the same part; the last response of each
+(URL, part), a row for each part of a URL, is carried forward to the parts after.
 
 A revisit is `resolved` if its validators agree with the response: ETag by weak
 comparison if both have one, else Last-Modified if both have one, else the
@@ -16,7 +16,7 @@ a 304 may update taken from the revisit.
 Defined results: records with a null URL or time are never matched; equal times
 are ordered by record id, null ids first; a response is no candidate for itself;
 repeated records give repeated rows; empty tables give no rows; extra columns
-stay, those named like a result are replaced.
+stay, whatever their names; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Headers that a 304 response may update, and query keys that name no resource.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
-BUCKETS = 64
 RESPONSE = ("record_id", "etag", "last_modified", "digest", "headers")
 
 
@@ -45,41 +46,46 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
-def _agree() -> Column:
-    pairs = ((_weak(F.col("etag")), _weak(F.col("_r.etag"))), (F.col("last_modified"), F.col("_r.last_modified")), (F.col("digest"), F.col("_r.digest")))
+def _agree(row: str, found: str) -> Column:
+    sides = ((_weak(F.col(f"{row}.etag")), _weak(F.col(f"{found}.etag"))), *((F.col(f"{row}.{c}"), F.col(f"{found}.{c}")) for c in ("last_modified", "digest")))
     out = F.lit(False)
-    for a, b in reversed(pairs):
+    for a, b in reversed(sides):
         out = F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(out)
     return out
 
 
-def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+RESULTS = ("canonical_url", "response_id", "response_ts", "status", "merged_headers")
+
+
+def resolve(records: DataFrame, parts: int | None = None) -> DataFrame:
     """records: record_id, url, ts (number), kind (response or revisit), etag, last_modified, digest, headers (map, lower-case keys).
 
     Returns the revisits with canonical_url, response_id, response_ts, status and merged_headers.
     """
-    r = records.withColumn("canonical_url", canonical(F.col("url")))
-    full = F.col("kind") == "response"
-    cuts = r.select(F.percentile_approx("ts", F.array(*(F.lit(k / buckets) for k in range(1, buckets))), F.lit(1000)).alias("c")).first()["c"] or []
-    cut = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    r = r.withColumn("_b", F.when(F.col("ts").isNull() | F.col("canonical_url").isNull(), F.lit(-1)).otherwise(F.size(F.filter(cut, lambda c: c < F.col("ts")))))
-    known = r.filter("_b >= 0")
-    response = F.struct(F.col("ts"), *(F.col(c) for c in RESPONSE))
-    order = Window.partitionBy("canonical_url", "_b").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    near = known.withColumn("_near", F.last(F.when(full, response), ignorenulls=True).over(order)).filter(F.col("kind") == "revisit")
-    # the last response of each interval, carried to those after it
-    present = known.groupBy("canonical_url", "_b").agg(F.max_by(F.when(full, response), F.when(full, F.struct("ts", "record_id"))).alias("_last"))
-    before = Window.partitionBy("canonical_url").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = present.select("canonical_url", "_b", F.last("_last", ignorenulls=True).over(before).alias("_before"))
-    found = near.join(carried, ["canonical_url", "_b"], "left").withColumn("_r", F.coalesce("_near", "_before")).drop("_near", "_before")
-    never = r.filter((F.col("_b") < 0) & (F.col("kind") == "revisit")).withColumn("_r", F.lit(None).cast(found.schema["_r"].dataType))
+    scratch = Scratch(records.sparkSession, "revisits")
+    r = records.select(F.struct(*records.columns).alias("row"), canonical(F.col("url")).alias("u"))
+    full, revisit = F.col("row.kind") == "response", F.col("row.kind") == "revisit"
+    spots = [F.col("u"), F.col("row.ts"), F.col("row.record_id")]
+    known = r.filter("u is not null and row.ts is not null")
+    dealt = known.repartitionByRange(parts, *spots) if parts else known.repartitionByRange(*spots)
+    dealt = scratch.write("dealt", dealt.withColumn("p", F.spark_partition_id()))  # written, so that parts are the same for both uses
+    response = F.struct(F.col("row.ts").alias("ts"), *(F.col(f"row.{c}").alias(c) for c in RESPONSE))
+    order = Window.partitionBy("u", "p").orderBy("row.ts", "row.record_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = dealt.withColumn("near", F.last(F.when(full, response), ignorenulls=True).over(order)).filter(revisit)
+    # the last response of each part, carried to those after it
+    present = dealt.groupBy("u", "p").agg(F.max_by(F.when(full, response), F.when(full, F.struct("row.ts", "row.record_id"))).alias("last"))
+    before = Window.partitionBy("u").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = present.select("u", "p", F.last("last", ignorenulls=True).over(before).alias("before"))
+    found = near.join(carried, ["u", "p"], "left").select("row", "u", F.coalesce("near", "before").alias("r"))
+    never = r.filter(revisit & (F.col("u").isNull() | F.col("row.ts").isNull())).withColumn("r", F.lit(None).cast(found.schema["r"].dataType))
     out = found.unionByName(never)
-    allowed = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
-    base = F.map_filter(F.coalesce("_r.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
-    status = F.when(F.col("_r").isNull(), "missing").when(_agree(), "resolved").otherwise("mismatch")
-    return (
-        out.withColumn("response_id", F.col("_r.record_id")).withColumn("response_ts", F.col("_r.ts")).withColumn("status", status)
-        .withColumn("merged_headers", F.when(F.col("status") == "resolved", F.map_concat(base, allowed))).drop("_b", "_r")
+    allowed = F.map_filter(F.coalesce("row.headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
+    base = F.map_filter(F.coalesce("r.headers", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
+    status = F.when(F.col("r").isNull(), "missing").when(_agree("row", "r"), "resolved").otherwise("mismatch")
+    stay = [F.col(f"row.`{c}`") for c in records.columns if c.lower() not in RESULTS]
+    return out.select(
+        *stay, F.col("u").alias("canonical_url"), F.col("r.record_id").alias("response_id"), F.col("r.ts").alias("response_ts"), status.alias("status"),
+        F.when(status == "resolved", F.map_concat(base, allowed)).alias("merged_headers"),
     )
 
 
