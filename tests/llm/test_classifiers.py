@@ -10,19 +10,17 @@ from textmill.llm.common import labelled_fold
 
 from ..conftest import SMALL
 
-SF = SMALL.replace("0.001", "0.01")
-
-
-@pytest.mark.parametrize(("name", "label"), [("op3_quality_classifier", "quality"), ("op8_toxicity", "toxic")])
-def test_held_out_accuracy(spark, name, label):
-    found = queries.QUERIES[name](spark, SF)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    assert found.count() == docs.count()
-    both = found.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").select("predicted", label, "score").collect()
+@pytest.mark.parametrize(("name", "label", "sf"), [("op3_quality_classifier", "quality", "0.01"), ("op8_toxicity", "toxic", "0.1")])
+def test_held_out_accuracy(spark, name, label, sf):
+    folder = SMALL.replace("0.001", sf)
+    found = queries.QUERIES[name](spark, folder).cache()
+    assert found.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+    both = found.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").select("predicted", label, "score").collect()
+    found.unpersist()
     assert all(0 <= r["score"] <= 1 for r in both)
     right = [np.mean([r["predicted"] == y for r in both if r[label] == y]) for y in (0, 1)]
-    # few rows to learn from here, some toxic words among them once at most
-    assert right[0] > (0.9 if label == "quality" else 0.8) and right[1] > (0.95 if label == "quality" else 0.3)
+    # of sf0.1 the toxic words are many and most of them rare; with the rows of larger tables nearly all are learnt (README)
+    assert right[0] > 0.93 and right[1] > (0.93 if label == "quality" else 0.8), right
 
 
 def test_pairwise_identity():
@@ -59,6 +57,41 @@ def test_batches_do_not_change_scores():
     assert together == pytest.approx([net.scores([t])[0] for t in texts], abs=1e-6) and together[0] == together[1]
 
 
+def plain_score(net, text):
+    """The net as it is defined: every filter at every word, two zero vectors after the last."""
+    words = toxicity.words_of(text)
+    a, b = toxicity.slots(words)
+    e = [net.e1[i].astype(float) + net.e2[j] for i, j in zip(a, b, strict=True)] + [np.zeros(toxicity.SIZE)] * toxicity.PAD
+    z, column, n = net.c, 0, 0
+    for w in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            at = [sum(float(e[i + j] @ net.kernel[:, column + j * toxicity.FILTERS + f]) for j in range(w)) for i in range(len(words))]
+            z += net.out[n] * (max(0.0, max(at) + net.bias[n]) if at else 0.0)
+            n += 1
+        column += w * toxicity.FILTERS
+    z += net.shift.get(toxicity.language(words), net.shift.get("", 0.0))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_net_against_loops(monkeypatch):
+    net = toxicity.train(toy(200))
+    texts = [None, "", "one", "a loser", "the " * 7, *(t for t, _ in toy(20, 9))]
+    want = [plain_score(net, t) for t in texts]
+    assert net.scores(texts) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(toxicity, "LONG_TEXT", 1)  # every text in blocks of few words, whatever its length
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(toxicity, "CHUNK_WORDS", size)
+        assert net.scores(texts) == pytest.approx(want, abs=1e-5)
+
+
+def test_long_text(spark):
+    net = toxicity.train(toy(200))
+    long = "the word goes on " * 60_000
+    assert len(long) > toxicity.LONG_TEXT
+    got = net.scores([long, "the word goes on " * 100, long + " loser"])
+    assert got[0] == pytest.approx(got[1], abs=1e-6) and got[2] > got[0]
+
+
 @pytest.mark.parametrize("module", [quality_fm, toxicity])
 def test_odd_rows(spark, module):
     docs = spark.createDataFrame([(1, None, 9.0), (None, "", 9.0), (2, "a b", 9.0), (2, "a b", 9.0)], "doc_id long, text string, score double")

@@ -12,13 +12,13 @@ from .common import labelled_fold
 
 #: Words that a worker keeps with their hashes.
 CACHE_WORDS = 200_000
-_cut = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
+CUT = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _seen: dict[str, int] = {}
 
 
 def tokens(text: str | None) -> list[str]:
     """Runs of letters and digits, and runs of other signs; case is kept."""
-    return _cut(text or "")
+    return CUT.findall(text or "")
 
 
 def hashes(words: list[str]) -> list[int]:

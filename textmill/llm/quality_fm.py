@@ -1,8 +1,7 @@
 """Operator 3: a factorisation machine that scores text quality.
 
-A text becomes a sparse vector x: hashed words (and hashed pairs of a word's
-shape with the next), structure statistics and metadata of the text such as its
-length, each cut into hashed bins. The score is
+A text becomes a sparse vector x: hashed words, and structure statistics and
+metadata of the text such as its length, each cut into bins. The score is
 
     b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 

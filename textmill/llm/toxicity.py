@@ -13,14 +13,16 @@ the logits are shifted so that the cut that errs least lies at THRESHOLD. Neithe
 labels nor lang, source or doc_id enter a score. Every document is scored whole.
 
 Defined results: a null text counts as empty and gets the score of no words;
-without labelled rows every score is 0.5; repeated rows give repeated results;
-other columns are unused.
+without labelled rows every score is 0.5; a very long text is scored block by
+block, with the same result; repeated rows give repeated results; other columns
+are unused.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import labelled_fold
-from .labelled import hashes, tokens, training_rows
+from .labelled import CUT, hashes, tokens, training_rows
 from .quality_fm import best_cut
 
 TRAIN_ROWS, BITS, SIZE, WIDTHS, FILTERS, EPOCHS, THRESHOLD = 6_000, 15, 16, (1, 2, 3), 12, 4, 0.5
 PAD = max(WIDTHS) - 1
 #: Rows of each class that a language needs to be calibrated by itself, and words scored at a time.
 LANGUAGE_ROWS, CHUNK_WORDS = 20, 60_000
+#: Characters from which a text is scored block by block.
+LONG_TEXT = 500_000
 #: Frequent words that tell languages apart.
 MARKS = {
     "en": "the of and to in is that for with was are be this it from",
@@ -49,13 +53,28 @@ def words_of(text: str | None) -> list[str]:
     return tokens((text or "").lower())
 
 
-def language(words: list[str]) -> str:
-    """The language with most of its frequent words among these; "" without any."""
-    votes = [(sum(map(v.__contains__, words)), k) for k, v in _MARKS.items()]
-    n, k = max(votes)
+def votes(words: list[str]) -> np.ndarray:
+    """For each language how many of its frequent words are among these."""
+    return np.array([sum(map(v.__contains__, words)) for v in _MARKS.values()])
+
+
+def elected(count: np.ndarray) -> str:
+    """The language with most votes, of equal ones the last by name; "" without any."""
+    n, k = max(zip(count.tolist(), _MARKS, strict=True))
     return k if n else ""
 
 
+def language(words: list[str]) -> str:
+    return elected(votes(words))
+
+
+def word_blocks(text: str) -> Iterator[list[str]]:
+    """The words of a very long text, CHUNK_WORDS at a time."""
+    found = (m[0] for m in CUT.finditer(text.lower()))
+    while block := list(islice(found, CHUNK_WORDS)):
+        yield block
+
+
 def slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.array(hashes(words), np.uint32)
     mask = np.uint32((1 << BITS) - 1)
@@ -72,8 +91,8 @@ class Net:
     c: float = 0.0
     shift: dict[str, float] = field(default_factory=dict)
 
-    def pooled(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Filter maxima, after bias and rectification: texts x filters."""
+    def pooled(self, docs: list[tuple[np.ndarray, np.ndarray]], starts: int | None = None) -> np.ndarray:
+        """Filter maxima, after bias and rectification: texts x filters. starts: how many words of each text filters begin at."""
         result = np.zeros((len(docs), len(self.out)), np.float32)
         some = [k for k, d in enumerate(docs) if len(d[0])]
         if not some:
@@ -82,7 +101,7 @@ class Net:
         e = np.concatenate([x for k in some for x in (self.e1[docs[k][0]] + self.e2[docs[k][1]], zero)])
         places = e @ self.kernel
         begin = np.cumsum([0] + [len(docs[k][0]) + PAD for k in some[:-1]])
-        stop = begin + np.array([len(docs[k][0]) for k in some])
+        stop = begin + np.array([len(docs[k][0]) if starts is None else starts for k in some])
         both = np.stack((begin, stop), 1).ravel()
         column, at = 0, 0
         for w in WIDTHS:
@@ -95,6 +114,17 @@ class Net:
             column, at = column + w * FILTERS, at + FILTERS
         return result
 
+    def pooled_long(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Maxima of one very long text, and its votes, in the memory of a block: a block is seen with the first words of the next."""
+        top, count = np.zeros((1, len(self.out)), np.float32), np.zeros(len(_MARKS), np.int64)
+        block: list[str] = []
+        for more in chain(word_blocks(text), ([],)):
+            if block:
+                top = np.maximum(top, self.pooled([slots(block + more[:PAD])], len(block)))
+                count += votes(block)
+            block = more
+        return top, count
+
     def logits(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return self.pooled(docs) @ self.out + self.c
 
@@ -103,11 +133,18 @@ class Net:
         held: list[tuple[int, tuple, str]] = []
         size = 0
 
+        def put(at: list[int], pooled: np.ndarray, langs: list[str]) -> None:
+            z = (pooled @ self.out + self.c).astype(np.float64) + [self.shift.get(x, self.shift.get("", 0.0)) for x in langs]
+            result[at] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
         def flush() -> None:
-            z = self.logits([h[1] for h in held]).astype(np.float64) + [self.shift.get(h[2], self.shift.get("", 0.0)) for h in held]
-            result[[h[0] for h in held]] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            put([h[0] for h in held], self.pooled([h[1] for h in held]), [h[2] for h in held])
 
         for k, t in enumerate(texts):
+            if t and len(t) >= LONG_TEXT:
+                top, count = self.pooled_long(t)
+                put([k], top, [elected(count)])
+                continue
             words = words_of(t)
             held.append((k, slots(words), language(words)))
             size += len(words)
