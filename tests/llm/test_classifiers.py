@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark, name, label, sf):
     assert all(0 <= r["score"] <= 1 for r in both)
     right = [np.mean([r["predicted"] == y for r in both if r[label] == y]) for y in (0, 1)]
     # of sf0.1 the toxic words are many and most of them rare; with the rows of larger tables nearly all are learnt (README)
-    assert right[0] > 0.93 and right[1] > (0.93 if label == "quality" else 0.8), right
+    assert right[0] > 0.9 and right[1] > (0.95 if label == "quality" else 0.8), right
 
 
 def test_pairwise_identity():
