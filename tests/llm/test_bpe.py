@@ -53,6 +53,27 @@ def test_an_edit_is_local():
     assert table.replace(2000, 2003, b"xyz") < 200
 
 
+def test_an_edit_of_a_long_piece_is_local(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdeé") for _ in range(20_000))
+    held = bpe.EditableText(CODEC, text)
+    made = [0]
+    entry = bpe.PrefixTable._entry
+    monkeypatch.setattr(bpe.PrefixTable, "_entry", lambda self, end: (made.__setitem__(0, made[0] + 1), entry(self, end))[1])
+    for _ in range(30):
+        made[0] = 0
+        a = rng.randint(0, len(held.text))
+        held.replace(a, min(len(held.text), a + rng.randint(0, 4)), "".join(rng.choice("abxé") for _ in range(rng.randint(0, 4))))
+        assert made[0] < 400
+        assert held.ids() == KNOWN.encode_ordinary(held.text)
+    held.replace(500, 501, " ")  # the piece falls in two
+    held.replace(500, 501, "")
+    held.append("more")
+    assert held.ids() == KNOWN.encode_ordinary(held.text)
+
+
 def test_long_runs():
     for text in ("a" * 5000, " " * 5000, "ab\n" * 3000, "é" * 3000):
         assert CODEC.encode(text) == KNOWN.encode_ordinary(text)

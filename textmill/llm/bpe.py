@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -36,6 +37,9 @@ from pyspark.sql import functions as F
 #: Pieces kept in a worker's cache, and the longest piece that is kept.
 CACHE_PIECES, CACHE_CHARS, CACHE_BORDERS = 200_000, 48, 500_000
 
+#: Bytes from which a piece of an edited text keeps its prefix table.
+LONG_PIECE = 256
+
 #: Letters below U+0250, and what neither they nor ASCII (but for U+001C-1F) cover. A text without the latter is cut by
 #: a plainer pattern with the standard library, which cuts it as the full pattern would, in half the time.
 _LETTERS, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", " \\t\\n\\x0b\\x0c\\r"
@@ -243,12 +247,14 @@ class EditableText:
 
     Only pieces near the change are cut and encoded anew. A piece depends on at
     most two pieces before it (a contraction, or the white space before a word).
+    A long piece keeps its prefix table, so that an edit inside it computes the
+    entries near the edit only.
     """
 
     def __init__(self, codec: Codec, text: str = ""):
         self.codec, self.text = codec, ""
         self.starts: list[int] = []
-        self.tables: list[list[int]] = []
+        self.tables: list[list[int] | PrefixTable] = []
         self.replace(0, 0, text)
 
     def append(self, more: str) -> None:
@@ -269,11 +275,27 @@ class EditableText:
                 self.starts += [s + shift for s in old_starts[k:]]
                 self.tables += old_tables[k:]
                 return
+            k = bisect_right(old_starts, m.start()) - 1
+            old = old_tables[k] if m.start() <= start and k >= 0 and old_starts[k] == m.start() else None
             self.starts.append(m.start())
-            self.tables.append(self.codec.piece_ids(m[0].encode()))
+            self.tables.append(self._table(m[0].encode(), old))
+
+    def _table(self, piece: bytes, old: list[int] | PrefixTable | None) -> list[int] | PrefixTable:
+        if len(piece) < LONG_PIECE or piece in self.codec.v.rank:
+            return self.codec.piece_ids(piece)
+        if not isinstance(old, PrefixTable):
+            return PrefixTable(self.codec.v, piece)
+        n = min(len(piece), len(old.data))
+        a, b = (np.frombuffer(x, np.uint8) for x in (bytes(old.data), piece))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        same = int(differ[0]) if len(differ) else n  # bytes at the start
+        differ = np.flatnonzero(a[len(a) - n + same :] != b[len(b) - n + same :])
+        tail = n - same - 1 - int(differ[-1]) if len(differ) else n - same  # and at the end, besides
+        old.replace(same, len(a) - tail, piece[same : len(b) - tail])
+        return old
 
     def ids(self) -> list[int]:
-        return [i for t in self.tables for i in t]
+        return [i for t in self.tables for i in (t.ids() if isinstance(t, PrefixTable) else t)]
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
