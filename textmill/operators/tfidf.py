@@ -11,11 +11,13 @@ from textmill.functions.text import ascii_tokens
 def sparse(chunks: DataFrame, batch: str | None = "source_url", chunk: str = "id", content: str = "content") -> DataFrame:
     """batch, chunk, term, first position, weight: tf * (ln(N / df) + 1), scaled to length 1 in each chunk.
 
-    N counts the chunks of the batch, also those without tokens. batch=None fits the whole corpus. Counting is one
-    partial aggregate; for a batch, all else happens in the partition of the batch.
+    N counts the chunks of the batch, also those without tokens. batch=None fits the whole corpus, with partial counts
+    before each exchange. For a batch (the chunks of one document) the chunks are brought together once, and all else
+    happens there.
     """
     key = F.col(batch) if batch else F.lit(0)
-    base = chunks.select(key.alias("_b"), F.col(chunk).alias("_c"), ascii_tokens(F.coalesce(content, F.lit(""))).alias("_t"))
+    base = chunks.select(key.alias("_b"), F.col(chunk).alias("_c"), F.coalesce(content, F.lit("")).alias("_t"))
+    base = (base.repartition("_b") if batch else base).withColumn("_t", ascii_tokens(F.col("_t")))
     terms = base.select("_b", "_c", F.size("_t").alias("_len"), F.posexplode("_t").alias("pos", "term"))
     counts = terms.groupBy("_b", "_c", "term").agg(F.count("*").alias("f"), F.min("pos").alias("pos"), F.first("_len").alias("_len"))
     n = base.groupBy("_b").agg(F.count_distinct("_c").alias("n"))

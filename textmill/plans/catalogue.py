@@ -1,8 +1,7 @@
 """Every query over the driver's tables, by name, with the SQL that it must agree with.
 
 Documents stand for fetched Markdown pages (url from the id, title from the
-source); pages for fetched HTML. Queries without SQL are held against other
-versions in the tests.
+source); pages for fetched HTML.
 """
 
 from __future__ import annotations
@@ -65,9 +64,11 @@ def tokenize_ascii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT term, count(*) AS cf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}\\p{Co}]+')) AS term FROM documents) GROUP BY term")
 def tokenize_unicode_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.index_tokens(F.col("text"))).alias("term"))
-    per_doc = t.groupBy("doc_id", "term").count()  # combined in the document's own task, before any exchange
-    return per_doc.groupBy("term").agg(F.sum("count").alias("cf"), F.count("*").alias("df"))
+    t = read(spark, sf_dir, "documents").select(F.sort_array(text.index_tokens(F.col("text"))).alias("t"))
+    # in order, a term's first place in its document is told by the one before: one exchange, of partial counts
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when(i == 0, True).otherwise(F.get("t", i - 1) != x).alias("first")))
+    each = t.select(F.explode(marked).alias("x")).select("x.term", "x.first")
+    return each.groupBy("term").agg(F.count("*").alias("cf"), F.count_if("first").alias("df"))
 
 
 @query("SELECT doc_id, 'sha256:' || sha256(text) AS content_hash FROM documents")
