@@ -87,6 +87,45 @@ def test_ties_nulls_and_extra_columns(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_many_texts_below_the_threshold(spark):
+    """A group whose members share buckets, but of which only some pairs are linked."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for k in rng.sample(range(150), rng.choice([1, 3, 3, 4, 4, 4])):
+            copy[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    want = brute(texts)
+    assert 1 < len(set(want)) < 300 and [got[i] for i in range(300)] == want
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(50_000)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, " ".join(long.split()[:30_000])), (4, "the " * 60_000), (5, "the " * 59_000)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_nodes_of_one_name(spark):
+    rows = [(1, 1, 7, 1), (2, 2, 7, 2), (3, 3, 7, 1), (4, 4, 8, 5)]
+    df = spark.createDataFrame(rows, "k1 long, k2 long, node long, more long")
+    got = {r["k1"]: r["node"] for r in near_dedup.named_apart(df, Scratch(spark, "t")).collect()}
+    assert got[1] == got[3] and len(set(got.values())) == 3 and got[4] == 8
+    assert {r["node"] for r in near_dedup.named_apart(df.filter("more = 1"), Scratch(spark, "t")).collect()} == {7}
+
+
+def test_columns_of_any_name(spark):
+    t = " ".join(map(str, range(30)))
+    df = spark.createDataFrame([(1, t, 1, 2, 3, 4), (2, t + " x", 5, 6, 7, 8)], "doc_id long, text string, _k1 int, key int, class int, Spot int")
+    left = near_dedup.one_of_each(df)
+    assert left.columns == df.columns and [tuple(r)[2:] for r in left.collect()] == [(1, 2, 3, 4)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(100, 140)]

@@ -62,6 +62,17 @@ def test_pipeline(spark, tmp_path):
     assert got == sorted(want) and 20 < len(want) < len(texts) - 6
 
 
+def test_columns_of_any_name_and_long_texts(spark, tmp_path):
+    rng = random.Random(5)
+    long = " ".join("the" if i % 20 == 0 else f"w{rng.randrange(10**6)}" for i in range(40_000))
+    rows = [(1, long, "en", "s", 3, 1, 2, 3, 4), (2, "the " + " ".join(f"v{i}" for i in range(60)), None, None, None, 5, 6, 7, 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, key int, row int, kept int")
+    spark.createDataFrame([(1, "nothing of this is there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns and sorted((r["doc_id"], r["text"], *tuple(r)[5:]) for r in out.collect()) == [(r[0], r[1], *r[5:]) for r in rows]
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     d = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
