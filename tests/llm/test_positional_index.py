@@ -5,6 +5,9 @@ import re
 import numpy as np
 
 from textmill.llm import positional_index as pi
+from textmill.llm import queries
+
+from ..conftest import SMALL
 
 
 def brute(docs, items, window=10):
@@ -102,6 +105,14 @@ def test_find_with_proximity(spark):
     assert got == {1: ([(1, 2)], 2), 2: ([(0, 4), (5, 3)], 7), 3: ([], 0), 4: ([], 0), 5: ([], 0)}
 
 
+def test_proximity_query_finds_what_the_exact_one_finds(spark):
+    """And more: an occurrence is a match spread over just its own words."""
+    rows = lambda d: {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in d.collect()}
+    exact, wide = rows(queries.op4_decontamination(spark, SMALL)), rows(queries.op4_proximity(spark, SMALL))
+    assert len(exact) == len(wide) and any(r[1] for r in exact.values())
+    assert all(wide[k][0] == r[0] and wide[k][1] >= r[1] and wide[k][2] >= r[2] for k, r in exact.items())
+
+
 def test_long_texts_and_long_items(spark):
     """A document over many shards' size, an item over many blocks' size."""
     rng = random.Random(4)

@@ -28,6 +28,16 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.digest(found)
 
 
+#: Words over which the words of a benchmark window may be spread, in order.
+WITHIN = 15
+
+
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose words follow each other in order, spread over at most WITHIN words."""
+    found = positional_index.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), within=WITHIN)
+    return positional_index.digest(found)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,6 +96,7 @@ QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
+    "op4_proximity": op4_proximity,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op6_line_dedup_all": op6_line_dedup_all,
