@@ -132,22 +132,37 @@ def _units(docs: DataFrame, doc_id: str, text: str, path: str | None, license_fi
         F.when(t.rlike(KEYWORD), F.concat(tagged(with_keyword(F.split(t, BLANK)), BLOCK), tagged(with_keyword(F.split(t, "\n")), LINE))).otherwise(none),
     )
     rows = docs.select(row_digest(F.col(doc_id), F.col(text)).alias("_k"), F.explode(every).alias("u"))
-    return rows.select("_k", "u.kind", "u.n", "u.t").distinct()
+    return rows.select("_k", "u.kind", "u.n", "u.t")
+
+
+def _counts(tokens: Column) -> Column:
+    """term and c of each distinct token, made in the row: sorted, and cut where the next differs."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1) != F.get(s, i)))
+        return F.element_at(F.transform(F.array(begins), lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(s)) - at).alias("c")))), 1)
+
+    none = F.array().cast("array<struct<term:string,c:int>>")
+    return F.element_at(F.transform(F.array(F.sort_array(tokens)), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(none)), 1)
 
 
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, license_file: str = LICENSE_FILE) -> DataFrame:
     """Best match of each distinct (id, text): _k, license, score."""
     spark: SparkSession = docs.sparkSession
     rows, idf, rare = template_table()
-    known = spark.createDataFrame(rows, "template int, license string, term string, w double")
+    known = spark.createDataFrame([(k, t, w) for k, _, t, w in rows], "template int, term string, w double")
+    names = spark.createDataFrame([(k, name) for k, (name, _) in enumerate(templates())], "template int, license string")
     weights = spark.createDataFrame([(t, x) for t, x in sorted(idf.items())], "term string, idf double")
     unit = ["_k", "kind", "n"]
-    terms = _units(docs, doc_id, text, path, license_file).select(*unit, F.explode(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))).alias("term"))
-    counted = terms.groupBy(*unit, "term").count().join(F.broadcast(weights), "term", "left")
-    counted = counted.withColumn("x", F.col("count") * F.coalesce("idf", F.lit(rare)))
+    # Terms don't travel: a unit's counts are made in its row, and its sums in its task. A row that is repeated makes its
+    # units longer vectors of the same direction.
+    tokens = F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0))
+    terms = _units(docs, doc_id, text, path, license_file).select(*unit, F.explode(_counts(tokens)).alias("u")).select(*unit, "u.term", "u.c")
+    counted = terms.join(F.broadcast(weights), "term", "left").withColumn("x", F.col("c") * F.coalesce("idf", F.lit(rare)))
     norms = counted.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = counted.join(F.broadcast(known), "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, unit).select("_k", "kind", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= THRESHOLD)
+    dots = counted.join(F.broadcast(known), "term").groupBy(*unit, "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, unit).select("_k", "kind", "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= THRESHOLD)
+    scored = scored.join(F.broadcast(names), "template")
     best = scored.groupBy("_k").agg(F.min(F.struct("kind", (-F.col("score")).alias("s"), "license")).alias("m"))
     return best.select("_k", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
 
