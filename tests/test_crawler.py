@@ -109,6 +109,7 @@ def test_ingest_search_export_discover(spark, site, tmp_path, capsys):
 def test_init_and_settings(tmp_path):
     at, out = str(tmp_path / "x.yaml"), io.StringIO()
     assert main(["init", "https://wiki.harbour.test/", "-o", at], out=out) == 0 and main(["init", "https://wiki.harbour.test/", "-o", at], out=out) == 1
+    assert main(["init", "https://www.harbour.test/"], out=out) == 0 and "dir: ./harbour-test-docs" in out.getvalue() and main(["init", "harbour"], out=out) == 1
     cfg = settings(parser().parse_args(["ingest", "--config", at, "--max-depth", "7", "--include", "/a/*,/b/*", "--include", "/c"]))
     assert (cfg.seed_url, cfg.max_depth, cfg.includes, cfg.excludes) == ("https://wiki.harbour.test/", 7, ("/a/*", "/b/*", "/c"), ("**/changelog/**",))
     assert main(["crawl", ""]) == 1

@@ -22,7 +22,7 @@ def test_config():
     assert (cfg2.includes, cfg2.excludes, cfg2.timeout_s, cfg2.resume, cfg2.embedder, cfg2.embedding_model, cfg2.embedding_batch, cfg2.output_dir, cfg2.verbose) == (("/a/*",), ("/b",), 7.0, True, "tfidf", "m", 9, "./o", True)
     with pytest.warns(UserWarning):
         assert load_yaml("ingest:\n  x: 1\ncrawl:\n  y: 2\n") == Config()
-    assert "dir: ./docs-example-com" in template("https://www.docs.example.com/")
+    assert "dir: ./docs-example-com-docs" in template("https://www.docs.example.com/")
     assert load_yaml(template("https://h/")).max_depth == 3
     assert cfg.with_(workers=4).workers == 4
 

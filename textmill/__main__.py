@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 from pathlib import Path
+from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +15,7 @@ from textmill.plans import crawler
 from textmill.sources import sinks
 from textmill.sources.config import EMBEDDERS, STRATEGIES, Config, _seconds, load_yaml, template
 
+VERSION = "1.0.0"
 #: Flags and the settings they change.
 CRAWL = {
     "--output": "output_dir", "--rate-limit": "rate_limit", "--workers": "workers", "--max-depth": "max_depth", "--include": "includes", "--exclude": "excludes",
@@ -40,6 +42,8 @@ def _add(p: argparse.ArgumentParser, flags: dict[str, str]) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("textmill", description=__doc__)
+    p.add_argument("--version", action="version", version=VERSION)
+    p.add_argument("--verbose", "-v", action="store_true", default=argparse.SUPPRESS)
     commands = p.add_subparsers(dest="command", required=True)
     for name, flags, about in (("crawl", CRAWL, "Fetch a site and write its pages as Markdown"), ("ingest", CRAWL | INGEST, "Fetch a site and index it"), ("discover", {k: CRAWL[k] for k in DISCOVER}, "List the URLs of a site's sitemap")):
         c = commands.add_parser(name, help=about)
@@ -58,9 +62,9 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--include-vectors", action="store_true")
     c.add_argument("--output", "-o", default="")
     c.add_argument("--source", default=Config().output_dir)
-    c = commands.add_parser("init", help="Write a settings file to start from")
+    c = commands.add_parser("init", help="Print a settings file to start from")
     c.add_argument("url")
-    c.add_argument("--output", "-o", default="textmill.yaml")
+    c.add_argument("--output", "-o", default="")
     return p
 
 
@@ -77,11 +81,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     out = out or sys.stdout
     args = parser().parse_args(argv)
     if args.command == "init":
-        if Path(args.output).exists():
+        if not urlsplit(args.url).scheme:
+            print(f"not a URL: {args.url}", file=sys.stderr)
+            return 1
+        if not args.output:
+            print(template(args.url), end="", file=out)
+        elif Path(args.output).exists():
             print(f"{args.output} exists", file=sys.stderr)
             return 1
-        Path(args.output).write_text(template(args.url))
-        print(f"wrote {args.output}", file=out)
+        else:
+            Path(args.output).write_text(template(args.url))
         return 0
     try:
         cfg = settings(args) if args.command in ("crawl", "ingest", "discover") else None
@@ -89,6 +98,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         print(e, file=sys.stderr)
         return 1
     spark = spark or SparkSession.builder.appName("textmill").getOrCreate()
+    spark.sparkContext.setLogLevel("INFO" if getattr(args, "verbose", False) else "WARN")
     if args.command == "crawl":
         row = crawler.crawl(spark, cfg, **parts).first()
         print(f"{row['pages_crawled']} pages, {row['errors']} errors, in {cfg.output_dir}", file=out)

@@ -121,5 +121,5 @@ embedding:
   # model: {d.embedding_model}
   # batch: {d.embedding_batch}
 output:
-  dir: ./{host_to_dir(urlsplit(url).hostname or "docs")}
+  dir: ./{host_to_dir(urlsplit(url).hostname or "site")}-docs
 """
