@@ -142,8 +142,8 @@ class Store:
         if embeddings is not None:
             tables["embeddings"] = self._write(embeddings.select("chunk_id", "vector", "dimensions"), "embeddings", {"parquet.bloom.filter.enabled#chunk_id": "true"})
         tables["lengths"] = self._write(_lengths(new), "lengths")
-        # by term, and by key within it, so that a frequent term is dealt over many files
-        tables["postings"] = self._write(bm25.postings(new).repartitionByRange("term", "key").sortWithinPartitions("term", "key", "col", "pos").select("key", "dl", "col", "pos", "term"), "postings", {"parquet.bloom.filter.enabled#term": "true"})
+        # A new segment's postings stay where they are made, each file in order of term; compaction puts them in one order.
+        tables["postings"] = self._write(bm25.postings(new).sortWithinPartitions("term").select("key", "dl", "col", "pos", "term"), "postings", {"parquet.bloom.filter.enabled#term": "true"})
         added = self._rows([tables["lengths"]], LENGTHS).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
         out = dict(m) | {"segments": [*m["segments"], {"at": at, "tables": tables}]}
         if m["segments"]:
@@ -187,7 +187,8 @@ class Store:
         for name in TABLES:
             live = self._live(name, m)
             if name == "postings":
-                live = live.repartitionByRange("term", "key").sortWithinPartitions("term", "key", "col", "pos")
+                # by term, and by key within it, so that a frequent term is dealt over many files
+                live = live.repartitionByRange("term", "key").sortWithinPartitions("term", "key")
             tables[name] = self._write(live, name, {f"parquet.bloom.filter.enabled#{'term' if name == 'postings' else KEY[name]}": "true"})
         self._commit(dict(m) | {"segments": [{"at": at, "tables": tables}], "dead": []})
 
