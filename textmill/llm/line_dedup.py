@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, broadcast_if_small
+from .common import Scratch
 
 #: What ends a clause, besides the end of the text.
 STOPS = "\n.!?,;:。！？，；："
@@ -46,6 +46,8 @@ LINE = "[^\n]*\n|[^\n]+"
 PARAGRAPH = "[^\n]+(?:\n[^\n]+)*\n*|\n+"
 #: Characters of a passage: about 30 words.
 LEAST = 180
+#: Units of cut documents that may be broadcast, about 40 MB, where a row counts as so many units besides its own.
+BROADCAST_UNITS, ROW_UNITS = 2_000_000, 8
 
 
 def pieces(text: str, by: str = CLAUSE) -> list[tuple[int, int, str]]:
@@ -147,5 +149,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)), spans, pa.array([r[3] for r in out], pa.string())], [doc_id, "n_units", "n_removed", "spans", "kept"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    joined = keyed.join(broadcast_if_small(cuts, 200_000), ["rank", "key"], "left")
+    # few cuts go to the texts, whose size is then known; else both meet in an exchange
+    size = cuts.agg(F.coalesce(F.sum(F.size("late") + F.lit(ROW_UNITS)), F.lit(0)).alias("n")).first()["n"]
+    joined = keyed.join(F.broadcast(cuts) if size <= BROADCAST_UNITS else cuts, ["rank", "key"], "left")
     return joined.select("id", "text", "late").mapInArrow(run, f"`{doc_id}` {kind}, {RESULT}")
