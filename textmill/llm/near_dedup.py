@@ -48,6 +48,8 @@ BANDS, ROWS = 30, 5
 M = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 BLOCK = 128
+#: Shingles that are signed at a time.
+PORTION = 60_000
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 200_000
 
@@ -89,18 +91,32 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(common / max(1, a[1].sum() + b[1].sum() - common))
 
 
+def _portions(column: pa.Array) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows with words and their multisets, PORTION shingles at a time, so that memory doesn't follow the lengths of texts."""
+    at: list[int] = []
+    bags: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for k, x in enumerate(column):
+        bag = weighted(x.as_py())
+        if len(bag[0]):
+            at.append(k)
+            bags.append(bag)
+            size += len(bag[0])
+        if size >= PORTION:
+            yield at, bags
+            at, bags, size = [], [], 0
+    if at:
+        yield at, bags
+
+
 def _signed(keyed: DataFrame) -> DataFrame:
     """k1, k2, text -> k1, k2, node, more (the second key), sketch (a byte of each component), bands; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(at, 256) for at in range(0, len(whole), 256)):
-                bags = [weighted(x.as_py()) for x in b.column(2)]
-                some = np.flatnonzero([len(x[0]) for x in bags])
-                if not len(some):
-                    continue
-                sizes = [len(bags[k][0]) for k in some]
-                element, weight = np.concatenate([bags[k][0] for k in some]), np.concatenate([bags[k][1] for k in some])
+        for b in batches:
+            for some, bags in _portions(b.column(2)):
+                sizes = [len(x[0]) for x in bags]
+                element, weight = np.concatenate([x[0] for x in bags]), np.concatenate([x[1] for x in bags])
                 owner = np.repeat(np.arange(len(some)), sizes)
                 marks = signatures(owner, element, weight, len(some), M)
                 first = np.cumsum([0, *sizes[:-1]])
@@ -266,7 +282,8 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     sizes = rest.groupBy("grp", "comp").count()
     largest = sizes.groupBy("grp").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("n"))
     largest = largest.select("grp", F.col("m.comp").alias("main"), F.col("n"), (F.col("n") - F.col("m.count")).alias("rest"))
-    rest = rest.join(largest, "grp").join(bags, "node")
+    # written first: where it is small it is known to be, else a hot group can be split
+    rest = rest.join(scratch.write("largest", largest), "grp").join(bags, "node")
     parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("node"), parts(n)).cast("int")
     # part (i, j) of a group holds block i of the nodes outside the main component and block j of all
@@ -277,7 +294,7 @@ def classes(docs: DataFrame, scratch: Scratch, doc_id: str = "doc_id", text: str
     second = components(joined, scratch, "second")
     labels = labelled(labelled(signed.select("k1", "k2", "node"), "node", first, "comp"), "comp", second, "class")
     found = scratch.write("classes", labels.select("k1", "k2", "class").distinct())
-    scratch.drop("signed", "shared", "apart", "nodes", "full", "members", "sketches", "bags", "residual")
+    scratch.drop("signed", "shared", "apart", "nodes", "full", "members", "sketches", "bags", "residual", "largest")
     return found
 
 
