@@ -172,19 +172,21 @@ class Queries:
     def build(items: list[tuple[object, list[bytes]]], window: int = WINDOW) -> Queries:
         vocabulary: dict[bytes, int] = {}
         names: dict[str, int] = {}
-        found: dict[int, dict[bytes, set[int]]] = {}
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by length: windows, and the item of each
         for item, own in items:
             name = names.setdefault(str(item), len(names))
             ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int32)
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(ids[k : k + size].tobytes(), set()).add(name)
+            if size := min(window, len(ids)):
+                windows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                found.setdefault(size, []).append((windows, np.full(len(windows), name, np.int32)))
         groups = []
-        for size, windows in found.items():
-            terms = np.frombuffer(b"".join(windows), np.int32).reshape(-1, size)
-            counts = np.array([len(x) for x in windows.values()])
-            offsets = np.tile(np.arange(size, dtype=np.int16), (len(terms), 1))
-            groups.append(Phrases(terms, offsets, np.array([k for x in windows.values() for k in sorted(x)], np.int32), np.append(0, np.cumsum(counts))))
+        for size, parts in found.items():
+            every = np.ascontiguousarray(np.concatenate([x for x, _ in parts]))
+            first, which = np.unique(every.view(np.dtype((np.void, 4 * size))).ravel(), return_index=True, return_inverse=True)[1:]
+            terms = every[first]
+            of = np.unique(which.astype(np.int64) * len(names) + np.concatenate([x for _, x in parts]))  # distinct (window, item)
+            edge = np.searchsorted(of, np.arange(len(terms) + 1, dtype=np.int64) * len(names))
+            groups.append(Phrases(terms, np.tile(np.arange(size, dtype=np.int16), (len(terms), 1)), (of % len(names)).astype(np.int32), edge))
         return Queries(vocabulary, list(names), groups)
 
     def ordered(self, count: np.ndarray) -> Queries:
