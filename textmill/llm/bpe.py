@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces kept in a worker's cache, and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS, CACHE_BORDERS = 200_000, 48, 500_000
+CACHE_PIECES, CACHE_CHARS, CACHE_BORDERS = 400_000, 48, 1_000_000
 
 #: Bytes from which a piece of an edited text keeps its prefix table.
 LONG_PIECE = 256
