@@ -48,8 +48,8 @@ BANDS, ROWS = 30, 5
 M = BANDS * ROWS
 FLOOR = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
 BLOCK = 128
-#: Shingles that are signed at a time.
-PORTION = 60_000
+#: Shingles and texts that are signed at a time.
+PORTION = 60_000, 256
 #: Words whose hashes a worker keeps.
 CACHE_WORDS = 200_000
 
@@ -92,7 +92,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _portions(column: pa.Array) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
-    """Rows with words and their multisets, PORTION shingles at a time, so that memory doesn't follow the lengths of texts."""
+    """Rows with words and their multisets, up to PORTION shingles and texts at a time, so that memory doesn't follow the lengths of texts."""
     at: list[int] = []
     bags: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
@@ -102,7 +102,7 @@ def _portions(column: pa.Array) -> Iterator[tuple[list[int], list[tuple[np.ndarr
             at.append(k)
             bags.append(bag)
             size += len(bag[0])
-        if size >= PORTION:
+        if size >= PORTION[0] or len(at) >= PORTION[1]:
             yield at, bags
             at, bags, size = [], [], 0
     if at:
