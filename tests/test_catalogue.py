@@ -38,6 +38,5 @@ def test_query(spark, duck, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
-def test_query_without_sql(spark, name):
-    assert catalogue.QUERIES[name](spark, SMALL).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
