@@ -48,12 +48,13 @@ def traverse(start: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
         df.write.parquet(f"{at}/level={k}")
         return spark.read.schema(FRONTIER).parquet(f"{at}/level={k}")
 
-    level = keep(distinct_urls(start).select(*start.columns), 0)
-    seen, k = level, 0
+    def all_levels() -> DataFrame:
+        return spark.read.schema(FRONTIER).parquet(at).select(*start.columns)  # one scan, however many levels
+
+    level, k = keep(distinct_urls(start).select(*start.columns), 0), 0
     while not level.isEmpty():
         k += 1
         out = level.select("norm_url", "depth").join(pairs, "norm_url").select("url", F.col("dst_norm").alias("norm_url"), (F.col("depth") + 1).alias("depth"), F.lit("link").alias("source"), F.lit("link-follower").alias("discovered_by"))
-        out = out.filter("norm_url is not null").filter(scope.allows(F.col("url"), F.col("depth"))).join(seen.select("norm_url"), "norm_url", "left_anti")
+        out = out.filter("norm_url is not null").filter(scope.allows(F.col("url"), F.col("depth"))).join(all_levels().select("norm_url"), "norm_url", "left_anti")
         level = keep(distinct_urls(out).select(*start.columns), k)
-        seen = seen.unionByName(level)
-    return seen
+    return all_levels()

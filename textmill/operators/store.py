@@ -165,6 +165,8 @@ class Store:
         gone = self._live("lengths", m).join(wanted, F.col("source_url").eqNullSafe(F.col("_u")), "left_semi")
         dead, sums = self._dead(m, gone)
         self._commit(dict(m) | sums | {"dead": [*m["dead"], dead]})
+        if len(m["dead"]) >= 4 * self.compact_at:
+            self.compact()
 
     def delete_source(self, url: str) -> None:
         self.delete_sources(self.spark.createDataFrame([(url,)], "source_url string"))

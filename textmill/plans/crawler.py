@@ -91,8 +91,10 @@ class Crawl:
         fs, p = self._files(spark, f"{self.state}/level={level}/_SUCCESS")
         return fs.exists(p)
 
-    def _level(self, spark: SparkSession, level: int) -> DataFrame:
-        return spark.read.schema(PAGES).parquet(f"{self.state}/level={level}")
+    def _levels(self, spark: SparkSession, first: int, last: int) -> DataFrame:
+        """One scan, however many levels."""
+        found = spark.read.schema(PAGES).parquet(*(f"{self.state}/level={k}" for k in range(first, last + 1)))
+        return found.select(*(c.split()[0] for c in PAGES.split(", ")))
 
     def discover(self, spark: SparkSession) -> DataFrame:
         """The frontier to begin with: the seed, and what the discoverers find in scope."""
@@ -110,25 +112,22 @@ class Crawl:
         rules = read_robots(spark, cfg, self.fetcher)
         if rules.crawl_delay_s and isinstance(self.fetcher, fetch.HttpFetcher):
             self.fetcher.crawl_delay_s = rules.crawl_delay_s
-        pages: DataFrame | None = None
         level = 0
         while True:
             if not self._complete(spark, level):
-                if pages is None:
+                if not level:
                     asked = self.discover(spark)
                 else:
-                    edges = extract.link_edges(self._level(spark, level - 1).filter("error is null").select("url", "body"))
+                    edges = extract.link_edges(self._levels(spark, level - 1, level - 1).filter("error is null").select("url", "body"))
                     asked = edges.select(F.col("dst").alias("url"), normalize_url(F.col("dst")).alias("norm_url"), F.lit(level).alias("depth"), F.lit("link").alias("source"))
                     asked = asked.filter("norm_url is not null").filter(scope.allows(F.col("url"), F.col("depth")))
-                    asked = distinct_urls(asked).join(pages.select("norm_url"), "norm_url", "left_anti")
+                    asked = distinct_urls(asked).join(self._levels(spark, 0, level - 1).select("norm_url"), "norm_url", "left_anti")
                 allowed = asked.filter(rules.allows(F.col("url")))
                 got = self.fetcher.fetch(allowed.select("url", "depth"))
                 keys = allowed.select("url", "norm_url", "source")
                 got.join(keys, "url").select(*(c.split()[0] for c in PAGES.split(", "))).write.mode("overwrite").parquet(f"{self.state}/level={level}")
-            new = self._level(spark, level)
-            if new.isEmpty():
-                return pages if pages is not None else new
-            pages = new if pages is None else pages.unionByName(new)
+            if self._levels(spark, level, level).isEmpty():
+                return self._levels(spark, 0, level)
             level += 1
 
     # --- documents
