@@ -211,12 +211,13 @@ def search(chunks: DataFrame, query: str, k: int = 5, key: str = "id", columns:
     stats = stats or corpus_stats(chunks, key, columns)
     found = occurrences(post if post is not None else postings(chunks, key, columns), every)
     counted = found.agg(*(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(every))))
-    rows = found.filter(_holds(node, {p: F.col(f"f{i}") > 0 for i, p in enumerate(every)})).crossJoin(F.broadcast(counted))  # one row of sums
+    holders = counted.first()  # one row of sums
+    rows = found.filter(_holds(node, {p: F.col(f"f{i}") > 0 for i, p in enumerate(every)}))
     rows = rows.withColumn("n", F.lit(stats.n)).withColumn("avgdl", F.lit(stats.tokens / max(1, stats.n)))
     score = F.lit(0.0)
     for i, p in enumerate(every):
         if p in scored:
-            n = F.coalesce(F.col(f"n{i}"), F.lit(0))
+            n = F.lit(holders[f"n{i}"] or 0)
             raw = F.log((F.col("n") - n + 0.5) / (n + 0.5))
             idf = F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
             f = F.col(f"f{i}")

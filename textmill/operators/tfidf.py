@@ -20,12 +20,13 @@ def sparse(chunks: DataFrame, batch: str | None = "source_url", chunk: str = "id
     base = (base.repartition("_b") if batch else base).withColumn("_t", ascii_tokens(F.col("_t")))
     terms = base.select("_b", "_c", F.size("_t").alias("_len"), F.posexplode("_t").alias("pos", "term"))
     counts = terms.groupBy("_b", "_c", "term").agg(F.count("*").alias("f"), F.min("pos").alias("pos"), F.first("_len").alias("_len"))
-    n = base.groupBy("_b").agg(F.count_distinct("_c").alias("n"))
     if batch:
         df = F.count("*").over(Window.partitionBy("_b", "term"))
+        n = base.groupBy("_b").agg(F.count_distinct("_c").alias("n"))
         weighed = counts.withColumn("df", df).join(n, "_b")
     else:
-        weighed = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").crossJoin(F.broadcast(n.select("n")))
+        n = chunks.agg(F.count_distinct(chunk).alias("n")).first()["n"]
+        weighed = counts.join(counts.groupBy("term").agg(F.count("*").alias("df")), "term").withColumn("n", F.lit(n))
     raw = weighed.withColumn("_v", F.col("f") / F.col("_len") * (F.log(F.col("n") / F.col("df")) + 1))
     norm = F.sqrt(F.sum(F.col("_v") * F.col("_v")).over(Window.partitionBy("_b", "_c")))
     out = raw.select(F.col("_b").alias(batch or "batch"), F.col("_c").alias("chunk_id"), "term", "pos", (F.col("_v") / norm).alias("weight"))
