@@ -44,8 +44,8 @@ STOPS = "\n.!?,;:。！？，；："
 CLAUSE = f"[^{STOPS}]+[{STOPS}]*|[{STOPS}]+"
 LINE = "[^\n]*\n|[^\n]+"
 PARAGRAPH = "[^\n]+(?:\n[^\n]+)*\n*|\n+"
-#: Characters of a passage: about 30 words.
-LEAST = 180
+#: Characters of a passage: about 33 words.
+LEAST = 200
 #: Units of cut documents that may be broadcast, about 40 MB, where a row counts as so many units besides its own.
 BROADCAST_UNITS, ROW_UNITS = 2_000_000, 8
 
