@@ -47,6 +47,8 @@ from .suffix_sort import repeated
 DEPTH, GRAM, SPAN, HOT_BLOCKS = 200, 48, 64, 1_000
 #: Bytes that are hashed at a time; places within them fit into PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 18, 20
+#: Texts whose runs are made at a time.
+SLICE = 512
 
 _ONE = np.uint64(1)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _ONE
@@ -156,7 +158,7 @@ def _halves(found: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 def _runs(keyed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             data, starts = _buffers(b.column(2))
             doc, start, m, off, fp = anchor_runs(data, starts, bits)
             view, begin = memoryview(data), starts[doc] + start
