@@ -33,6 +33,16 @@ def work_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver's JVM ends."""
+    at = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
 def traverse(start: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
     """start: frontier rows; edges: src, dst (URLs). All that is reached in scope, with its depth.
 
@@ -40,7 +50,7 @@ def traverse(start: DataFrame, edges: DataFrame, scope: Scope) -> DataFrame:
     shared folder, so that plans don't grow with depth; the loop ends with a level that adds nothing.
     """
     spark = start.sparkSession
-    at = f"{work_dir(spark)}/frontier-{uuid.uuid4().hex}"
+    at = scratch_dir(spark, "frontier")
     pairs = edges.select(normalize_url(F.col("src")).alias("norm_url"), F.col("dst").alias("url")).filter("norm_url is not null").distinct()
     pairs = pairs.withColumn("dst_norm", normalize_url(F.col("url")))
 

@@ -6,7 +6,6 @@ source); pages for fetched HTML.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -396,7 +395,7 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_store(spark: SparkSession) -> Store:
-    return Store(spark, f"{frontier.work_dir(spark)}/store-{uuid.uuid4().hex}")
+    return Store(spark, frontier.scratch_dir(spark, "store"))
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> Store:
