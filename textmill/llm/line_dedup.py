@@ -46,8 +46,8 @@ LINE = "[^\n]*\n|[^\n]+"
 PARAGRAPH = "[^\n]+(?:\n[^\n]+)*\n*|\n+"
 #: Characters of a passage: about 33 words.
 LEAST = 200
-#: Units of cut documents that may be broadcast, about 40 MB, where a row counts as so many units besides its own.
-BROADCAST_UNITS, ROW_UNITS = 2_000_000, 8
+#: Units of cut documents that may be broadcast, 4 bytes each, where a row counts as so many units besides its own: under 100 MB.
+BROADCAST_UNITS, ROW_UNITS = 8_000_000, 8
 
 
 def pieces(text: str, by: str = CLAUSE) -> list[tuple[int, int, str]]:
