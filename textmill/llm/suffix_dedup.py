@@ -47,8 +47,6 @@ from .suffix_sort import repeated
 DEPTH, GRAM, SPAN, HOT_BLOCKS = 200, 48, 64, 1_000
 #: Bytes that are hashed at a time; places within them fit into PLACE_BITS bits.
 PIECE, PLACE_BITS = 1 << 18, 20
-#: Texts that a worker takes at a time.
-SLICE = 256
 
 _ONE = np.uint64(1)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _ONE
@@ -158,7 +156,7 @@ def _halves(found: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 def _runs(keyed: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
+        for b in batches:
             data, starts = _buffers(b.column(2))
             doc, start, m, off, fp = anchor_runs(data, starts, bits)
             view, begin = memoryview(data), starts[doc] + start
@@ -183,7 +181,7 @@ def _blocks(with_text: DataFrame) -> DataFrame:
     """k1, k2, text, runs -> blocks of up to SPAN windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
+        for b in batches:
             out: list[tuple] = []
             for k1, k2, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 data = text.as_py().encode()
@@ -333,7 +331,7 @@ def cut_out(with_ranges: DataFrame) -> DataFrame:
     """k1, k2, text, ranges -> spans (maximal ranges), n_removed, the digest of the bytes that are kept, and these as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
+        for b in batches:
             rows = []
             for text, ranges in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 data, spans = text.as_py().encode(), []
