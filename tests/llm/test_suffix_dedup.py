@@ -92,3 +92,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == [(0, 0), (6, 0), (201, 200), (300, 300), (300, 300)]
     assert sorted(r["text"] or "" for r in suffix_dedup.remove_repeats(df).collect()) == ["", "", "", "q", "unique"]
     assert suffix_dedup.digest(df.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_not_dealt_out_window_by_window(spark):
+    """A passage with many neighbours gives a few pieces a document, and the same bytes go."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(420)
+    texts = [text(rng.randint(50, 150)) + passage + text(rng.randint(50, 150)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(df, hot_blocks=10).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts)
+    ranges = suffix_dedup.repeated_ranges(suffix_dedup.row_keys(df, "doc_id", "text"), suffix_dedup.Scratch(spark, "test"), hot_blocks=10)
+    assert ranges.count() < 40 * len(texts)  # 221 windows of each are repeated

@@ -19,8 +19,10 @@ by itself (suffix_sort), with long ties resolved by cover-sample ranks.
    sorted bucket by bucket in `sort_blocks`, which compares bytes. What the
    sort finds of a run that stands for copies holds for each of them.
 4. A bucket of more than `HOT_BLOCKS` blocks (a passage with that many different
-   neighbours) isn't gathered. Its windows are dealt out one by one and
-   pre-aggregated like runs: two of each go through the same sort.
+   neighbours) isn't gathered. Its blocks are pre-aggregated like runs: two of
+   each go through the same sort. Blocks that no other equals, with the two that
+   stand for the others, are cut into pieces of 16, 4 and at last 1 windows,
+   whose buckets are made, sorted and cut in the same way.
 5. Repeated windows become byte ranges of their documents, and are cut out.
 
 Whole texts take part; nothing is capped. What travels: rows of runs, the bytes
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -170,10 +173,11 @@ def _runs(keyed: DataFrame, bits: int) -> DataFrame:
 
 
 #: of: the copies that a run or window stands for have this digest; null if it stands for itself.
-BLOCK = "core long, k1 long, k2 long, start int, m int, of struct<s1:long,s2:long>, data binary"
+#: at: place of the first window among the SPAN that share the core.
+BLOCK = "core long, k1 long, k2 long, start int, m int, of struct<s1:long,s2:long>, data binary, at int"
 _OF = pa.struct([("s1", pa.int64()), ("s2", pa.int64())])
-KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _OF, pa.binary())
-NAMES = ["core", "k1", "k2", "start", "m", "of", "data"]
+KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), _OF, pa.binary(), pa.int32())
+NAMES = ["core", "k1", "k2", "start", "m", "of", "data", "at"]
 RANGES = "k1 long, k2 long, start int, stop int, of struct<s1:long,s2:long>"
 
 
@@ -195,7 +199,7 @@ def _blocks(with_text: DataFrame) -> DataFrame:
                         a = i + off - base  # where the window at the least offset of the block would start
                         core = data[a : a - SPAN + 1 + DEPTH]
                         digest = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=base.to_bytes(4, "little")).digest(), "little", signed=True)
-                        out.append((digest, k1, k2, i, m, r["of"], data[i : i + m - 1 + DEPTH]))
+                        out.append((digest, k1, k2, i, m, r["of"], data[i : i + m - 1 + DEPTH], base + SPAN - 1 - off))
                         i, off = i + m, low - 1
                     if len(out) >= 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), KINDS, strict=True)], NAMES)
@@ -276,7 +280,7 @@ def sort_blocks(blocks: DataFrame) -> DataFrame:
         close()
         yield out([*done, *(_sorted_ranges(held) if held else ())])
 
-    return blocks.select(*NAMES).repartition("core").sortWithinPartitions("core").mapInArrow(run, RANGES)
+    return blocks.select(*NAMES[:-1]).repartition("core").sortWithinPartitions("core").mapInArrow(run, RANGES)
 
 
 def _two_of_each(rows: DataFrame, key: list[str], take: list[str]) -> DataFrame:
@@ -286,20 +290,48 @@ def _two_of_each(rows: DataFrame, key: list[str], take: list[str]) -> DataFrame:
     return ends.select(*key, "many", F.explode(F.when(F.col("many"), F.array("a", "b")).otherwise(F.array("a"))).alias("r")).select(*key, "many", "r.*")
 
 
-def _hot_ranges(blocks: DataFrame, scratch: Scratch) -> DataFrame:
-    """Ranges of the blocks of hot buckets: window by window, two of each through the sort."""
-    one = blocks.select(
-        "k1", "k2", "of", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: F.substring(F.col("data"), i + 1, DEPTH))).alias("i", "w"), "start"
+#: Windows of the pieces into which blocks of hot buckets are cut, step by step.
+WIDTHS = (16, 4, 1)
+
+
+def _cut(pieces: DataFrame, width: int) -> DataFrame:
+    """Pieces of at most `width` windows. Their bucket is the digest of the bytes that all windows of their places share."""
+    first, last = (F.expr(f"CAST(({x}) DIV {width} * {width} AS INT)") for x in ("at", "at + m - 1"))
+    one = pieces.withColumn("q", F.explode(F.sequence(first, last, F.lit(width))))
+    low, high = F.greatest("at", "q"), F.least(F.col("at") + F.col("m"), F.col("q") + width)
+    part = lambda start, n: F.substring(F.col("data"), (start - F.col("at") + 1).cast("int"), n)
+    return one.select(
+        F.xxhash64(part(F.col("q") + width - 1, F.lit(DEPTH - width + 1)), "q", F.lit(width)).alias("core"), "k1", "k2", (F.col("start") + low - F.col("at")).alias("start"),
+        (high - low).alias("m"), "of", part(low, high - low - 1 + DEPTH).alias("data"), low.alias("at"), "old",
     )
-    digest = F.md5("w")
-    half = lambda at: F.conv(F.substring(F.col("_d"), at, 16), 16, -10).cast("long")
-    one = one.withColumn("_d", digest).select("k1", "k2", (F.col("start") + F.col("i")).alias("start"), half(1).alias("s1"), half(17).alias("s2"), "w", "of")
-    one = scratch.write("windows", one)
-    stand = _two_of_each(one, ["s1", "s2"], ["k1", "k2", "start", "w"]).filter("many")
-    sides = stand.select(F.xxhash64("s1", "s2").alias("core"), "k1", "k2", "start", F.lit(1).alias("m"), F.struct("s1", "s2").alias("of"), F.col("w").alias("data"))
-    known = scratch.write("hot", sort_blocks(sides).select("of.s1", "of.s2").distinct())
-    # written first, so that both sides have an exchange of their own and a hot window can be split
-    return one.join(known, ["s1", "s2"]).select("k1", "k2", "start", (F.col("start") + DEPTH).alias("stop"), "of")
+
+
+def _hot_ranges(blocks: DataFrame, scratch: Scratch, hot_blocks: int) -> DataFrame:
+    """Ranges of the blocks of hot buckets. Rows are pieces of many windows; single windows only where repeats begin and end.
+
+    old: all windows of the piece are known to be repeated; it stays for others that share some of them.
+    """
+    half = lambda at: F.conv(F.substring(F.md5("data"), at, 16), 16, -10).cast("long")
+    hot, found = blocks.withColumn("old", F.lit(False)), []
+    for width in (SPAN, *WIDTHS):
+        if width < SPAN:
+            pieces = scratch.write(f"pieces{width}", _cut(stand.withColumn("old", F.col("old") | F.col("many")), width))
+            n = pieces.groupBy("core").agg(F.count("*").alias("n"), F.bool_and("old").alias("known"))
+            n = scratch.write(f"sizes{width}", n.filter("n > 1 AND NOT known").select("core", (F.col("n") > hot_blocks).alias("hot")))
+            # written first, so that both sides have an exchange of their own and a hot bucket can be split
+            pieces = scratch.write(f"met{width}", pieces.join(n, "core"))
+            found.append(scratch.write(f"found{width}", sort_blocks(pieces.filter("NOT hot"))))
+            hot = pieces.filter("hot").drop("hot")
+            if hot.isEmpty():
+                break
+        one = scratch.write(f"hot{width}", hot.withColumns({"s1": half(1), "s2": half(17)}))
+        stand = scratch.write(f"stand{width}", _two_of_each(one, ["s1", "s2"], ["core", "k1", "k2", "start", "m", "of", "data", "at", "old"]))
+        sides = stand.filter("many").withColumns({"core": F.xxhash64("s1", "s2"), "of": F.struct("s1", "s2")})
+        alike = scratch.write(f"alike{width}", sort_blocks(sides).select("of.s1", "of.s2").distinct())
+        new = one.filter("NOT old").join(alike, ["s1", "s2"])
+        found.append(scratch.write(f"equal{width}", new.select("k1", "k2", "start", (F.col("start") + F.col("m") - 1 + DEPTH).alias("stop"), "of")))
+        scratch.drop(f"pieces{width}", f"sizes{width}", f"met{width}", f"hot{width}", f"alike{width}")
+    return reduce(DataFrame.unionByName, found)
 
 
 def repeated_ranges(keyed: DataFrame, scratch: Scratch, bits: int = 64, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
@@ -319,8 +351,8 @@ def repeated_ranges(keyed: DataFrame, scratch: Scratch, bits: int = 64, hot_bloc
     any_hot = not hot.isEmpty()
     found = scratch.write("found", sort_blocks(blocks.join(hot, "core", "left_anti") if any_hot else blocks))
     if any_hot:
-        found = found.unionByName(scratch.write("found_hot", _hot_ranges(blocks.join(hot, "core"), scratch)))
-    scratch.drop("blocks", "windows", "hot")
+        found = found.unionByName(scratch.write("found_hot", _hot_ranges(blocks.join(hot, "core"), scratch, hot_blocks)))
+    scratch.drop("blocks", *(f"{name}{width}" for name in ("found", "stand", "equal", "pieces", "sizes", "met") for width in (SPAN, *WIDTHS)))
     # runs that stand for copies, and that the sort has found to be repeated
     whole = found.filter("of is not null").select("of.s1", "of.s2").distinct()
     copies = kept.join(scratch.write("whole", whole), ["s1", "s2"]).select("k1", "k2", "start", (F.col("start") + F.col("m") - 1 + DEPTH).alias("stop"))
